@@ -2,5 +2,65 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from memlattice.llm import near_duplicates, skeleton, tokens
+from memlattice.tables import table
+
+
+def retold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "federation_results").select(F.lit("federation_results").alias("source"), F.col("result_id").alias("key"), F.col("definition").alias("text"))
+    return found.unionByName(table(spark, sf_dir, "threads").select(F.lit("threads").alias("source"), F.col("id").alias("key"), F.col("body").alias("text")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near_duplicates.expanded(*near_duplicates.near_duplicates(retold(spark, sf_dir)))
+    return pairs.withColumnRenamed("source", "source_table")
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.with_links(*near_duplicates.near_duplicates(retold(spark, sf_dir)))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.decode_column(p6_ids(spark, sf_dir), "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = skeleton.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return skeleton.look_alike_pairs(prints).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.skeletons(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_classes": p1_classes,
+    "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
+    "p8_found": p8_found,
+    "p8_skeletons": p8_skeletons,
+}
+
+_WORDS = r"""
+WITH texts AS (
+  SELECT 'federation_results' AS source, result_id AS key, definition AS text FROM federation_results
+  UNION SELECT 'threads', id, body FROM threads),
+sets AS (SELECT source, key, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS words FROM texts),
+kept AS (SELECT source, key, words, len(words) AS n FROM sets WHERE len(words) >= 8),
+flat AS (SELECT source, key, words, n, unnest(words) AS word FROM kept),
+pairs AS (
+  SELECT a.source, a.key AS key_a, b.key AS key_b, a.words AS words_a, b.words AS words_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::double AS likeness
+  FROM flat a JOIN flat b ON a.source = b.source AND a.word = b.word AND a.key < b.key GROUP BY ALL)
+"""
+ORACLE = {
+    "p1_found": _WORDS + "SELECT DISTINCT source AS source_table, key_a, key_b FROM pairs WHERE likeness >= 0.7",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
