@@ -6,35 +6,57 @@
    likeness.
 3. Classes that share all samples of a band are candidates. Of them those with a sketch likeness below the limit less a
    margin leave, without reading their words.
-4. For the rest the words are fetched and counted exactly.
+4. For the rest the words are read again and counted exactly.
 
-Copies are collapsed before bands are compared (map-side), so that a text with a third of all rows is one class.
+A task gives samples for the first of a class's copies only, so that a text with a third of all rows takes part in the
+band join once a task, and once in all after the exchange.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlattice.tables import materialize
 
-BANDS, BAND_ROWS, SKETCH_BITS = 40, 6, 512
+#: Two sets of likeness 0.74 share no band with a probability of 0.003, of 0.8 with 0.00003.
+BANDS, BAND_ROWS, SKETCH_BITS = 44, 7, 512
 #: A candidate leaves if its sketch likeness is this much below the limit: over five deviations of the estimate.
 MARGIN = 0.2
-PRIME = np.uint64(0xFFFFFFFFFFFFFFC5)
+#: Records to look up again that are sent to all executors (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
+#: A word is a longest run of letters and digits of the lower-cased text.
+WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: Column | str) -> Column:
-    """Distinct words, a word being a longest run of letters and digits of the lower-cased text; [] for null."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+class Words:
+    """Sets of word hashes of texts; the memory of known words is bounded."""
 
+    def __init__(self, most: int = 300_000):
+        self.known: dict[str, int] = {}
+        self.most = most
 
-def word_hashes(text: Column | str) -> Column:
-    return F.array_sort(F.transform(words(text), lambda w: F.xxhash64(w)))
+    def hashes(self, text: str | None) -> np.ndarray:
+        """Sorted 64-bit hashes of the distinct words; none for a null text."""
+        found = set(WORD.findall((text or "").lower()))
+        if new := found.difference(self.known):
+            if len(self.known) > self.most:
+                self.known, new = {}, found
+            self.known.update((w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in new)
+        out = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
+        out.sort()
+        return out
+
+
+def class_of(source: str, hashes: np.ndarray) -> int:
+    """The signed 64-bit hash of a source's word set."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes(), xxhash.xxh32_intdigest(source or "")) - 2**63
 
 
 def samples(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -57,39 +79,54 @@ def odd_sketch(sample: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8).reshape(len(sample), bits), axis=1)
 
 
-def sketched(df: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, bits: int = SKETCH_BITS) -> DataFrame:
-    """source, key, class (hash of the word set), bands (a hash each), sketch (array of 64-bit words).
-
-    df: source, key, hashes (distinct, not empty).
-    """
+def sketched(df: DataFrame, least_words: int, bands: int = BANDS, band_rows: int = BAND_ROWS, bits: int = SKETCH_BITS) -> DataFrame:
+    """source, key, class (hash of the word set) of each row with enough words; for the first of a class in a task also
+    bands (a hash each) and sketch (array of 64-bit words), null for the others. df: source, key, text."""
     k = bands * band_rows
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = Words(), set()
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                lists = b.column(3)
-                starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
-                sample = samples(lists.values.to_numpy().view(np.uint64)[starts[0] : lists.offsets[-1].as_py()], starts - starts[0], k)
-                with np.errstate(over="ignore"):
+                rows, classes, sets, at = [], [], [], []
+                for i, (source, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
+                    hashes = words.hashes(text.as_py())
+                    if len(hashes) < least_words:
+                        continue
+                    rows.append(i)
+                    classes.append(class_of(source, hashes))
+                    at.append(None if classes[-1] in seen else len(sets))
+                    if at[-1] is not None:
+                        seen.add(classes[-1])
+                        sets.append(hashes)
+                band = parity = np.zeros((0, 1), np.int64)
+                if sets:
+                    starts = np.cumsum([0, *map(len, sets)])[:-1]
+                    sample = samples(np.concatenate(sets), starts, k)
                     mix = sample.reshape(-1, bands, band_rows) * (np.arange(1, band_rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
-                    band = (mix ^ (mix >> np.uint64(29))).sum(axis=2, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
-                parity = odd_sketch(sample, bits).view(np.int64)
-                n = b.num_rows
+                    band = ((mix ^ (mix >> np.uint64(29))).sum(axis=2, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    parity = odd_sketch(sample, bits).view(np.int64)
+                of = lambda m, kind: pa.array([None if j is None else m[j] for j in at], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        b.column(1),
-                        b.column(2),
-                        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, band.astype(np.uint32).view(np.int32).ravel()),
-                        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (bits // 64), parity.ravel()),
-                    ],
+                    [b.column(0).take(pa.array(rows, pa.int32())), b.column(1).take(pa.array(rows, pa.int32())), pa.array(classes, pa.int64()), of(band, pa.int32()), of(parity, pa.int64())],
                     names=["source", "key", "class", "bands", "sketch"],
                 )
 
     kind = df.schema["key"].dataType.simpleString()
-    classed = df.select("source", "key", F.xxhash64("source", "hashes").alias("class"), "hashes")
-    return classed.mapInArrow(sketch, f"source string, key {kind}, class bigint, bands array<int>, sketch array<bigint>")
+    return df.select("source", "key", "text").mapInArrow(sketch, f"source string, key {kind}, class bigint, bands array<int>, sketch array<bigint>")
+
+
+def word_sets(df: DataFrame) -> DataFrame:
+    """class and hashes of each row. df: source, class, text; rows whose text is no longer of that class are left out."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            held = [(c, h) for s, c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if class_of(s, h := words.hashes(t.as_py())) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int64()), pa.array([h.view(np.int64) for _, h in held], pa.list_(pa.int64()))], names=["class", "hashes"])
+
+    return df.select("source", "class", "text").mapInArrow(sets, "class bigint, hashes array<bigint>")
 
 
 def sketch_likeness(a: str, b: str, samples: int, bits: int) -> Column:
@@ -111,11 +148,11 @@ def near_duplicates(df: DataFrame, limit: float = 0.7, least_words: int = 8, ban
     fewer than least_words distinct words are in no class; whole repeats of a row are one. Pairs of a class with itself
     aren't given: its rows have likeness 1. Other columns are not read.
     """
-    hashed = df.select("source", "key", word_hashes("text").alias("hashes")).where(F.size("hashes") >= least_words)
-    docs = materialize(sketched(hashed, bands, band_rows, bits), "sketches")
+    docs = materialize(sketched(df, least_words, bands, band_rows, bits), "sketches")
 
-    bucket = F.posexplode("bands").alias("band", "value")
-    keyed = docs.select("source", "class", bucket).select(F.xxhash64("source", "band", "value").alias("bucket"), "class").distinct()
+    firsts = docs.where("bands is not null")
+    bucketed = firsts.select("source", "class", F.posexplode("bands").alias("band", "value"))
+    keyed = bucketed.select(F.xxhash64("source", "band", "value").alias("bucket"), "class").repartition("bucket").dropDuplicates(["bucket", "class"])
     pairs = (
         keyed.select("bucket", F.col("class").alias("class_a"))
         .join(keyed.select("bucket", F.col("class").alias("class_b")), "bucket")
@@ -123,15 +160,15 @@ def near_duplicates(df: DataFrame, limit: float = 0.7, least_words: int = 8, ban
         .select("class_a", "class_b")
         .distinct()
     )
-    sketches = docs.groupBy("class").agg(F.any_value("sketch").alias("sketch"), F.min("key").alias("key"), F.any_value("source").alias("source"))
-    a, b = (sketches.select(F.col("class").alias(f"class_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.struct("source", "key").alias(f"at_{s}")) for s in "ab")
+    sketches = firsts.groupBy("class").agg(F.any_value("sketch").alias("sketch"))
+    a, b = (sketches.select(F.col("class").alias(f"class_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
     alike = pairs.join(a, "class_a").join(b, "class_b").where(sketch_likeness("sketch_a", "sketch_b", bands * band_rows, bits) >= limit - MARGIN)
-    alike = materialize(alike.select("class_a", "class_b", "at_a", "at_b"), "candidates")
+    alike = materialize(alike.select("class_a", "class_b"), "candidates")
 
-    asked = alike.select(F.explode(F.array(F.struct(F.col("class_a").alias("class"), F.col("at_a").alias("at")), F.struct(F.col("class_b").alias("class"), F.col("at_b").alias("at")))).alias("x"))
-    asked = asked.select("x.class", "x.at.source", "x.at.key").distinct()
-    exact = df.join(asked, ["source", "key"]).select("source", "class", word_hashes("text").alias("hashes"))
-    exact = exact.where(F.xxhash64("source", "hashes") == F.col("class")).groupBy("class").agg(F.any_value("hashes").alias("hashes"))
+    asked = alike.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    asked = materialize(firsts.join(asked, "class", "left_semi").groupBy("class").agg(F.min_by(F.struct("source", "key"), F.struct("source", "key")).alias("at")).select("class", "at.*"), "asked")
+    found = df.select("source", "key", "text").join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["source", "key"])
+    exact = word_sets(found).groupBy("class").agg(F.any_value("hashes").alias("hashes"))
     x, y = (exact.select(F.col("class").alias(f"class_{s}"), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
     links = (
         alike.select("class_a", "class_b").join(x, "class_a").join(y, "class_b")
