@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlattice.llm import near_duplicates, skeleton, tokens
-from memlattice.tables import table
+from memlattice.llm import clusters, near_duplicates, neighbours, packing, skeleton, tokens
+from memlattice.tables import materialize, table
+from memlattice.vectors import one_per_id
+
+DIM = 128
 
 
 def retold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,29 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.with_links(*near_duplicates.near_duplicates(retold(spark, sf_dir)))
 
 
+def memory_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = one_per_id(table(spark, sf_dir, "memories"), DIM, "namespace")
+    options = table(spark, sf_dir, "dream_options").select("namespace", F.col("cluster_threshold").alias("threshold"))
+    return clusters.clusters(memories, DIM, options)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory_clusters(spark, sf_dir).select(F.col("id").alias("memory_id"), "cluster_id")
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described(materialize(memory_clusters(spark, sf_dir), "members"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observations = one_per_id(table(spark, sf_dir, "observations"), DIM)
+    return neighbours.similar_pairs(neighbours.nearest(observations, DIM, 5, least=0.75))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(one_per_id(table(spark, sf_dir, "observations"), DIM), DIM, 5)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -31,6 +57,29 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode_column(p6_ids(spark, sf_dir), "doc_id")
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+    targets = table(spark, sf_dir, "pack_targets").collect()  # a fixed configuration of three rows
+    documents = table(spark, sf_dir, "documents")
+    parts, capacities = [], {}
+    for name in sorted({t.tokenizer for t in targets}):
+        own = {t.target: t.capacity_tokens for t in targets if t.tokenizer == name}
+        sizes = tokens.count_column(documents, "doc_id", "text", name).select(F.col("doc_id").alias("id"), F.col("n_tokens").alias("size"))
+        parts.append(packing.pack(sizes, own))
+        capacities |= own
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, capacities
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.filling(*packed_documents(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = skeleton.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
     return skeleton.look_alike_pairs(prints).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -43,8 +92,14 @@ def p8_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
+    "p4_found": p4_found,
+    "p4_nearest": p4_nearest,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
+    "p7_packing": p7_packing,
+    "p7_filling": p7_filling,
     "p8_found": p8_found,
     "p8_skeletons": p8_skeletons,
 }
@@ -60,7 +115,28 @@ pairs AS (
   SELECT a.source, a.key AS key_a, b.key AS key_b, a.words AS words_a, b.words AS words_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::double AS likeness
   FROM flat a JOIN flat b ON a.source = b.source AND a.word = b.word AND a.key < b.key GROUP BY ALL)
 """
+_VALID = "len(embedding) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_CLUSTERS = f"""
+WITH one AS (
+  SELECT id, namespace, embedding::double[] AS v FROM memories WHERE {_VALID}
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+links AS (
+  SELECT a.id, b.id AS other FROM one a JOIN one b ON a.namespace = b.namespace
+  LEFT JOIN dream_options o ON o.namespace = a.namespace
+  WHERE list_cosine_similarity(a.v, b.v) >= coalesce(o.cluster_threshold, 0.7) OR a.id = b.id),
+led AS (SELECT id AS memory_id, min(other) AS cluster_id, count(*) AS n FROM links GROUP BY id)
+"""
+_NEAREST = f"""
+WITH one AS (
+  SELECT id, embedding::double[] AS v FROM observations WHERE {_VALID}
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+near AS (
+  SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS score FROM one a JOIN one b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY score DESC, b.id) <= 5)
+"""
 ORACLE = {
+    "p2_found": _CLUSTERS + "SELECT memory_id, cluster_id FROM led WHERE n > 1",
+    "p4_found": _NEAREST + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM near WHERE score >= 0.75",
     "p1_found": _WORDS + "SELECT DISTINCT source AS source_table, key_a, key_b FROM pairs WHERE likeness >= 0.7",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
