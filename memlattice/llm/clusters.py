@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlattice.llm.blocks import blockwise
+from memlattice.operators.blocks import blockwise
 from memlattice.tables import materialize
 from memlattice.vectors import lists, matrix, unit
 
