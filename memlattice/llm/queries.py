@@ -81,7 +81,7 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = skeleton.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text")
+    prints = materialize(skeleton.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text"), "prints")
     return skeleton.look_alike_pairs(prints).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
