@@ -235,16 +235,18 @@ def clusters(df: DataFrame, dim: int, thresholds: DataFrame, default_threshold:
         leads = leads.join(further, "lead", "left").select("rep", F.coalesce("further", "lead").alias("lead"))
     leads = materialize(leads, "led")
     sizes = leads.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1")
-    several = known.join(leads, "rep").join(sizes, "lead")
+    several = known.join(leads, "rep").join(sizes, "lead").withColumn("bucket", F.pmod(F.xxhash64("lead"), F.lit(max(1, n // 1024))))
 
     def agree(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"lead": [], "rep": [], "n": [], "like": []})
         like, same = near(a, b)
-        return pd.DataFrame({"lead": a.lead, "rep": a.rep, "n": a.n, "like": (like | same).sum(axis=1)})
+        like = (like | same) & (a["lead"].to_numpy()[:, None] == b["lead"].to_numpy())
+        return pd.DataFrame({"lead": a["lead"], "rep": a.rep, "n": a.n, "like": like.sum(axis=1)})
 
-    agreed = blockwise(several, several, ["lead"], "rep", agree, "lead string, rep string, n bigint, like bigint", BLOCK_ROWS)
+    agreed = blockwise(several, several, ["bucket"], "rep", agree, "lead string, rep string, n bigint, like bigint", BLOCK_ROWS)
     agreed = agreed.groupBy("lead", "rep").agg(F.max("n").alias("n"), F.sum("like").alias("like")).where("like = n").select("rep", "lead")
+    agreed = materialize(agreed, "agreed")
     alone = leads.join(agreed.select("rep"), "rep", "left_anti").select("rep", F.col("rep").alias("lead"))  # its copies may be a cluster
     led = materialize(agreed.unionByName(alone), "clusters")
 
