@@ -113,7 +113,7 @@ def route(m: np.ndarray, w: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-z, axis=1, kind="stable")[:, : min(probes, w.shape[1])].astype(np.int32)
 
 
-def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 8, least: float = -1.0, sample_rows: int = SAMPLE_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
+def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 12, least: float = -1.0, sample_rows: int = SAMPLE_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
     """id, neighbour, score (cosine), rank from 1: the k most similar other ids of each id, of those with a cosine of
     `least` or more. df: id (unique, not null), embedding (dim numbers, not all zero). Equal scores go to the smaller id.
     """
