@@ -1,8 +1,8 @@
 import pytest
 
-from memlattice.plans import corpus, memory_queries, retrieval_queries
+from memlattice.plans import corpus, memory_queries, retrieval_queries, stream_queries
 
-MODULES = (corpus, memory_queries, retrieval_queries)
+MODULES = (corpus, memory_queries, retrieval_queries, stream_queries)
 WITH_SQL = [(n, m) for m in MODULES for n in m.ORACLE]
 WITHOUT = [(n, m) for m in MODULES for n in m.QUERIES if n not in m.ORACLE]
 
