@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from memlattice.tables import materialize
 
@@ -31,6 +32,8 @@ BANDS, BAND_ROWS, SKETCH_BITS = 44, 7, 512
 MARGIN = 0.2
 #: Records to look up again that are sent to all executors (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: A bucket of more classes is compared in parts.
+BUCKET_ROWS = 1000
 #: A word is a longest run of letters and digits of the lower-cased text.
 WORD = re.compile(r"[^\W_]+")
 
@@ -141,6 +144,17 @@ def likeness(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def bucket_pairs(keyed: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
+    """class_a < class_b of each two rows (bucket, class, n) of a bucket of n rows. In a bucket of more than `most` rows
+    the one side is cut into parts of about that size, to each of which the other is copied."""
+    small, large = keyed.where(F.col("n") <= most), keyed.where(F.col("n") > most).withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
+    one = small.select("bucket", F.col("class").alias("class_a")).join(small.select("bucket", F.col("class").alias("class_b")), "bucket")
+    part = large.select("bucket", F.col("class").alias("class_a"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"))
+    copy = large.select("bucket", F.col("class").alias("class_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = part.join(copy, ["bucket", "part"])
+    return one.select("class_a", "class_b").unionByName(both.select("class_a", "class_b")).where("class_a < class_b")
+
+
 def near_duplicates(df: DataFrame, limit: float = 0.7, least_words: int = 8, bands: int = BANDS, band_rows: int = BAND_ROWS, bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes of one source with a likeness of `limit` or more, and the rows of each class.
 
@@ -153,13 +167,8 @@ def near_duplicates(df: DataFrame, limit: float = 0.7, least_words: int = 8, ban
     firsts = docs.where("bands is not null")
     bucketed = firsts.select("source", "class", F.posexplode("bands").alias("band", "value"))
     keyed = bucketed.select(F.xxhash64("source", "band", "value").alias("bucket"), "class").repartition("bucket").dropDuplicates(["bucket", "class"])
-    pairs = (
-        keyed.select("bucket", F.col("class").alias("class_a"))
-        .join(keyed.select("bucket", F.col("class").alias("class_b")), "bucket")
-        .where("class_a < class_b")
-        .select("class_a", "class_b")
-        .distinct()
-    )
+    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    pairs = bucket_pairs(materialize(keyed, "buckets")).distinct()
     sketches = firsts.groupBy("class").agg(F.any_value("sketch").alias("sketch"))
     a, b = (sketches.select(F.col("class").alias(f"class_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
     alike = pairs.join(a, "class_a").join(b, "class_b").where(sketch_likeness("sketch_a", "sketch_b", bands * band_rows, bits) >= limit - MARGIN)

@@ -76,3 +76,10 @@ def test_sketch_estimates_likeness():
     x, y = N.odd_sketch(s, 512)
     differ = int(np.unpackbits(x ^ y).sum())
     assert abs(1 + 512 / (4 * 308) * np.log(1 - 2 * differ / 512) - 180 / 220) < 0.12
+
+
+def test_large_buckets_are_compared_in_parts(spark):
+    rows = [(1, c, 30) for c in range(30)] + [(2, c, 2) for c in (3, 99)]
+    keyed = spark.createDataFrame(rows, "bucket bigint, class bigint, n bigint")
+    got = sorted(tuple(r) for r in N.bucket_pairs(keyed, most=7).collect())
+    assert got == sorted([*combinations(range(30), 2), (3, 99)])
