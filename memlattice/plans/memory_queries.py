@@ -329,13 +329,20 @@ def session_table(spark, d):
 
 
 def around(sessions: DataFrame, observations: DataFrame) -> DataFrame:
-    """session, n_observations: those from two hours before its start to four after. An interval join on hours: the
-    observations are counted by minute first, each session meets its seven hours' minutes, the edges are exact."""
-    hours = sessions.select("session", "start_at", F.explode(F.sequence(F.lit(-2), F.lit(4))).alias("h"))
-    hours = hours.withColumn("hour", F.floor(F.unix_seconds("start_at") / 3600) + F.col("h"))
-    times = observations.groupBy("created_at").agg(F.count("*").alias("n")).withColumn("hour", F.floor(F.unix_seconds("created_at") / 3600))
-    inside = (F.col("created_at") >= F.col("start_at") - F.expr("interval 2 hours")) & (F.col("created_at") <= F.col("start_at") + F.expr("interval 4 hours"))
-    return hours.join(times, "hour").where(inside).groupBy("session").agg(F.sum("n").alias("n_observations"))
+    """session, n_observations: those from two hours before its start to four after, both ends included.
+
+    The number up to the end less the number before the start: both are running counts within a minute, plus the sum of
+    the minutes before, whose table is as long as the time span has minutes. So no session meets single observations."""
+    micros = F.unix_micros("start_at")
+    ends = F.array(*[F.struct((micros + h * F.lit(3_600_000_000)).alias("at"), F.lit(s).alias("sign"), F.lit(o).alias("nth")) for h, s, o in ((-2, -1, 0), (4, 1, 2))])
+    asked = sessions.select("session", F.explode(ends).alias("e")).select("session", "e.*", F.lit(0).alias("n"))
+    held = observations.where("created_at is not null").select(F.lit(None).cast("string").alias("session"), F.unix_micros("created_at").alias("at"), F.lit(0).alias("sign"), F.lit(1).alias("nth"), F.lit(1).alias("n"))
+    both = asked.unionByName(held).withColumn("minute", F.floor(F.col("at") / 60_000_000))
+    inside = F.sum("n").over(Window.partitionBy("minute").orderBy("at", "nth").rowsBetween(Window.unboundedPreceding, 0))
+    minutes = both.groupBy("minute").agg(F.sum("n").alias("n"))
+    minutes = minutes.select("minute", (F.sum("n").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    counted = both.withColumn("inside", inside).where("sign <> 0").join(minutes, "minute")
+    return counted.groupBy("session").agg(F.sum(F.col("sign") * (F.col("inside") + F.col("before"))).alias("n_observations"))
 
 
 FEATURES = ["session", "duration_minutes", "n_retrievals", "retry_rate", "n_ops", "has_commits", "n_observations"]
