@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlattice.functions import scoring as S
 from memlattice.functions import text as T
-from memlattice.operators import graph
+from memlattice.operators import graph, updates
 from memlattice.operators import retrieval as R
 from memlattice.plans import memory_queries as Q
 from memlattice.plans import model as M
@@ -399,3 +399,62 @@ def refine_evidence(spark, d):
     e = R.top_k(e, 10, ["source_id"], "created_at", "edge").join(m.select(F.lower("id").alias("target_id"), "definition").where("definition is not null"), "target_id")
     e = e.groupBy("id").agg(F.count("*").alias("n_related"), F.array_sort(F.collect_list(F.struct("created_at", "edge", "definition"))).alias("x"))  # ten at most
     return e.select("id", "n_related", F.array_join(F.transform("x", lambda s: s["definition"]), " ").alias("evidence"))
+
+
+# Changes
+
+_VOTES = "SELECT id, access_count % 2 = 0 AS helpful FROM mem WHERE category = 'belief' AND access_count IS NOT NULL"
+
+
+@query("mem obs", f", v AS ({_VOTES}) SELECT m.id, CASE WHEN v.id IS NULL THEN m.confidence ELSE greatest(0.05, least(1, coalesce(m.confidence, 0.5) + CASE WHEN helpful THEN 0.05 ELSE -0.10 END)) END AS confidence FROM mem m LEFT JOIN v USING (id)")
+def feedback(spark, d):
+    m = M.memories(spark, d)
+    votes = m.where("category = 'belief' and access_count is not null").select("id", (F.col("access_count") % 2 == 0).alias("helpful"))
+    return updates.feedback(m, votes).select("id", "confidence")
+
+
+@query("mem obs", "SELECT id, CASE WHEN category = 'topic' THEN greatest(0.1, salience * 0.6) ELSE salience END AS salience, CASE WHEN category = 'topic' THEN true ELSE faded END AS faded, CASE WHEN category = 'topic' THEN 'relearning' ELSE fsrs.state END AS state, fsrs.lapses + CASE WHEN category = 'topic' THEN 1 ELSE 0 END AS lapses FROM mem WHERE fsrs IS NOT NULL AND salience IS NOT NULL")
+def forget(spark, d):
+    m = M.memories(spark, d).where("fsrs is not null and salience is not null")
+    return updates.forget(m, m.where("category = 'topic'").select("id")).select("id", "salience", "faded", F.col("fsrs.state").alias("state"), F.col("fsrs.lapses").alias("lapses"))
+
+
+@query("mem obs thr", ", a AS (SELECT lower(trim(unnest(related_memory_ids))) AS k FROM thr), n AS (SELECT k, count(*) AS n FROM a GROUP BY k) SELECT id, coalesce(access_count, 0) + coalesce(n, 0) AS access_count FROM mem LEFT JOIN n ON n.k = lower(mem.id) WHERE access_count IS NOT NULL OR n IS NOT NULL")
+def touch(spark, d):
+    """Each reference from a thread counts as an access."""
+    refs = M.threads(spark, d).select(F.explode("related_memory_ids").alias("k")).select(F.lower(F.btrim("k")).alias("k"))
+    m = M.memories(spark, d)
+    accesses = refs.join(m.select("id", F.lower("id").alias("k")), "k").select("id")
+    return updates.touch(m, accesses).where("access_count is not null").select("id", "access_count")
+
+
+@query("mem obs", _GATE + """ SELECT o.id, CASE WHEN coalesce(decision, 'novel') = 'merge' THEN 'touch' WHEN coalesce(decision, 'novel') = 'novel' AND o.salience >= 0.7 THEN 'create' ELSE 'keep' END AS effect,
+  CASE WHEN decision <> 'novel' THEN best END AS memory_id, CASE WHEN max_similarity > 0 THEN floor((1 - max_similarity) * 1000 + 0.5) / 1000 END AS prediction_error,
+  coalesce(max_similarity > 0 AND floor((1 - max_similarity) * 1000 + 0.5) / 1000 >= 0.5, false) AS surprising FROM obs o LEFT JOIN gate ON query_id = o.id WHERE ('0x' || substr(o.id, 5, 8))::bigint % 50 = 0""")
+def observe(spark, d):
+    """What comes of the stated observations."""
+    number = F.conv(F.substring("id", 5, 8), 16, 10).cast("bigint")
+    new = M.observations(spark, d).where(number % 50 == 0).select("id", "salience")
+    gates = R.gate(R.nearest_batch(asked(spark, d), memory_vectors(spark, d).select("id", "embedding"), DIM, 5))
+    return updates.observed(new, gates)
+
+
+@query()
+def merged_duplicates(spark, d):
+    """The memories that merging the newest duplicates changes."""
+    m = M.memories(spark, d)
+    return updates.merge_duplicates(m, find_duplicates(spark, d)).select("id", "salience", "faded", "access_count", F.size("source_files").alias("n_files"))
+
+
+@query(
+    "mem obs edg",
+    f""", e AS (SELECT id, CASE WHEN access_count < 3 THEN 0.3::double ELSE 0 END + CASE WHEN confidence < 0.5 THEN 0.2::double ELSE 0 END + CASE WHEN category = 'goal' THEN 0.4::double ELSE 0 END + CASE WHEN {DAYS('last_accessed')} > 14 THEN 0.2::double ELSE 0 END AS s FROM mem)
+SELECT source_id, target_id, 0.4 * weight + 0.6 * s AS pull FROM (SELECT DISTINCT source_id, target_id, max(weight) OVER (PARTITION BY source_id, target_id) AS weight FROM edg) JOIN e ON lower(e.id) = target_id
+QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY round(0.4 * weight + 0.6 * s, 9) DESC, target_id) <= 10""",
+)
+def wander_steps(spark, d):
+    """Where a walk may go on from each memory: its ten strongest next steps."""
+    e = M.edges(spark, d).groupBy("source_id", "target_id").agg(F.max("weight").alias("weight"))
+    s = M.memories(spark, d).select(F.lower("id").alias("target_id"), S.epistemic(F.col("access_count"), F.col("confidence"), F.col("category"), S.days_since("last_accessed")).alias("s"))
+    steps = e.join(s, "target_id").select("source_id", "target_id", (0.4 * F.col("weight") + 0.6 * F.col("s")).alias("pull"))
+    return R.top_k(steps, 10, ["source_id"], F.desc(F.round("pull", 9)), "target_id")
