@@ -2,8 +2,8 @@
 
 A bounded sample is linked to its nearest neighbours; that graph is cut into parts of balanced size with few links
 between them; a small softmax classifier learns each vector's part, with its neighbours' parts as soft labels. Every
-vector of the collection, not only the sample, is indexed in its most probable part, and as a query is routed to the
-`probes` most probable ones, where the cosines are exact. Parts that hold many vectors are searched in blocks.
+vector of the collection, not only the sample, is indexed in its most probable part, and as a query is routed to those
+that together have most of the probability, where the cosines are exact. Parts that hold many vectors are searched in blocks.
 
 Exact copies of a vector are indexed once; their smallest k + 1 ids stand for them, which is enough for any k nearest
 (ties go to the smaller id), however many copies there are.
@@ -23,11 +23,13 @@ from pyspark.sql.window import Window
 
 from memlattice.operators.blocks import blockwise
 from memlattice.tables import materialize
-from memlattice.vectors import lists, matrix, unit
+from memlattice.vectors import matrix, unit
 
 #: The classifier and its graph are fitted on at most about this many vectors, chosen by the hash of their id.
 SAMPLE_ROWS = 8192
 MOST_PARTS, LINKS, BLOCK_ROWS = 256, 10, 4096
+#: A query is routed to parts until their probabilities sum up to MASS, or there are `probes`.
+MASS, SHARPNESS = 0.8, 8
 
 
 def neighbour_graph(m: np.ndarray, links: int) -> np.ndarray:
@@ -86,7 +88,7 @@ def fit_router(m: np.ndarray, soft: np.ndarray, epochs: int = 40, rate: float =
         order = draw.permutation(len(x))
         for lo in range(0, len(x), 512):
             rows = order[lo : lo + 512]
-            z = x[rows] @ w * 8
+            z = x[rows] @ w * SHARPNESS
             z = np.exp(z - z.max(axis=1, keepdims=True))
             grad = x[rows].T @ (z / z.sum(axis=1, keepdims=True) - soft[rows]) / len(rows)
             t += 1
@@ -107,13 +109,17 @@ def learn_router(m: np.ndarray, parts: int) -> np.ndarray:
     return fit_router(m, soft)
 
 
-def route(m: np.ndarray, w: np.ndarray, probes: int) -> np.ndarray:
-    """The most probable parts of each vector, best first."""
-    z = np.hstack([m, np.ones((len(m), 1), np.float32)]) @ w
-    return np.argsort(-z, axis=1, kind="stable")[:, : min(probes, w.shape[1])].astype(np.int32)
+def route(m: np.ndarray, w: np.ndarray, probes: int, mass: float = MASS) -> list[np.ndarray]:
+    """The most probable parts of each vector, best first: as many as together have the given probability, at most
+    `probes`."""
+    z = np.hstack([m, np.ones((len(m), 1), np.float32)]) @ w * SHARPNESS
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    order = np.argsort(-p, axis=1, kind="stable")[:, :probes].astype(np.int32)
+    total = np.cumsum(np.take_along_axis(p, order, 1) / p.sum(axis=1, keepdims=True), axis=1)
+    return [o[: 1 + int((t < mass).sum())] for o, t in zip(order, total, strict=True)]
 
 
-def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 12, least: float = -1.0, sample_rows: int = SAMPLE_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
+def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 16, least: float = -1.0, sample_rows: int = SAMPLE_ROWS, most_parts: int = MOST_PARTS) -> DataFrame:
     """id, neighbour, score (cosine), rank from 1: the k most similar other ids of each id, of those with a cosine of
     `least` or more. df: id (unique, not null), embedding (dim numbers, not all zero). Equal scores go to the smaller id.
     """
@@ -136,7 +142,7 @@ def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 12, least: float
         for b in batches:
             if b.num_rows:
                 m = unit(matrix(b.column(1), dim))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists(route(m, sent.value, probes)), pa.array([v.tobytes() for v in m], pa.binary())], names=["vec", "parts", "unit"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(route(m, sent.value, probes), pa.list_(pa.int32())), pa.array([v.tobytes() for v in m], pa.binary())], names=["vec", "parts", "unit"])
 
     index = materialize(distinct.select("vec", "embedding").mapInArrow(routed, "vec bigint, parts array<int>, unit binary"), "index")
     held = index.select("vec", F.col("parts")[0].alias("part"), "unit")
