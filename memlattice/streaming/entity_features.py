@@ -111,7 +111,7 @@ def source(spark: SparkSession, path: str, bytes_per_batch: int) -> DataFrame:
     return reader.parquet(path)
 
 
-def run_features(stream: DataFrame, home: str, shards: int = 1024, buckets: int = 16) -> str:
+def run_features(stream: DataFrame, home: str, shards: int = 256, buckets: int = 16) -> str:
     """Drains the stream into the feature table below `home` and returns the table's path; run again over a longer
     input with the same `home`, it goes on from the checkpoint."""
     spark = stream.sparkSession
