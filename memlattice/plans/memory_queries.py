@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from memlattice.functions import scoring as S
 from memlattice.functions import text as T
 from memlattice.operators import filters, graph
+from memlattice.operators.forest import isolation_scores
 from memlattice.operators.retrieval import top_k
 from memlattice.plans import model as M
 from memlattice.plans.model import with_sql
+from memlattice.tables import key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,16 +106,12 @@ def edges_of_memories(spark, d):
 
 @query("", "SELECT collection, count(DISTINCT lower(trim(record_id))) AS n FROM tombstones GROUP BY collection")
 def deletions(spark, d):
-    from memlattice.tables import key, table
-
     return table(spark, d, "tombstones").groupBy("collection").agg(F.count_distinct(key("record_id")).alias("n"))
 
 
 @query("", "SELECT id, max(access_count) AS access_count, max(updated_at) AS updated_at FROM memories GROUP BY id")
 def upsert(spark, d):
     """Early versions, overwritten by id with later ones."""
-    from memlattice.tables import table
-
     rows = table(spark, d, "memories")
     first = M.latest(rows.withColumn("age", -F.unix_micros("updated_at")), "id", "age").drop("age")
     merged = filters.upsert(first, M.memories(spark, d), "id")
@@ -380,8 +378,6 @@ ORACLE["anomaly_rules"] = feature_sql("""SELECT session, coalesce(nullif(concat_
 @query()
 def session_anomalies(spark, d):
     """Sessions by isolation score, with the features that go into it."""
-    from memlattice.operators.forest import isolation_scores
-
     s = session_table(spark, d).select(*FEATURES)
     return isolation_scores(s, "session", FEATURES[1:])
 
@@ -543,8 +539,6 @@ def avg_path_length(spark, d):
 
 @query("", "SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}'))) AS n_distinct FROM documents")
 def tokenize(spark, d):
-    from memlattice.tables import table
-
     t = T.tokenize("text")
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
@@ -575,7 +569,17 @@ def grounding(spark, d):
     return M.memories(spark, d).select("id", T.grounding("name", "definition").alias("grounding"))
 
 
-@query()
+_HITS = " + ".join(f"contains(lower(t), '{p}')::int" for p in T.GENERIC_PHRASES)
+_META = " OR ".join(f"regexp_matches(lower(t), '{p}')" for p in T.META_OPENERS)
+
+
+@query(
+    "mem",
+    f""", t AS (SELECT id, trim(coalesce(definition, ''), ' ' || chr(9) || chr(13) || chr(10)) AS t FROM mem), h AS (SELECT *, {_HITS} AS hits FROM t)
+SELECT id, array_to_string(list_filter([CASE WHEN length(t) < 20 THEN 'too_short' END, CASE WHEN length(t) > 2000 THEN 'too_long' END,
+  CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?]["'')\]]?$') THEN 'no_sentence_end' END, CASE WHEN regexp_matches(t, '^(#{{1,6}}\s|\*\*)') THEN 'markdown' END, CASE WHEN {_META} THEN 'meta_opener' END,
+  CASE WHEN regexp_matches(t, '\bConcept\s+[A-Z]\b') THEN 'placeholder' END, CASE WHEN hits >= 2 THEN 'generic' END, CASE WHEN hits = 1 THEN 'generic_unchecked' END], lambda x: x IS NOT NULL), ' ') AS problems FROM h""",
+)
 def assess_thought(spark, d):
     return M.memories(spark, d).select("id", F.array_join(T.assess_thought("definition"), " ").alias("problems"))
 
@@ -583,8 +587,6 @@ def assess_thought(spark, d):
 @query("", """SELECT doc_id, i AS chunk, CASE WHEN i = 0 THEN substring(text, 1, 2000) ELSE substring(text, 2001 + (i - 1) * 500, 500) END AS content
 FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(0, 1 + greatest(0, ceil((length(coalesce(text, '')) - 2000) / 500.0))::bigint)) AS i FROM documents)""")
 def digest_chunks(spark, d):
-    from memlattice.tables import table
-
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks("text")).alias("chunk", "content")).withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
@@ -596,8 +598,6 @@ def ops_ttl(spark, d):
 
 @query("", "SELECT doc_id, CASE WHEN lower(kind) IN ('mind', 'journal') THEN 7 WHEN lower(kind) = 'knowledge' THEN 6 WHEN length(text) > 3000 THEN 7 WHEN length(text) > 1000 THEN 6 ELSE 5 END AS salience FROM documents")
 def detect_salience(spark, d):
-    from memlattice.tables import table
-
     size = F.coalesce(F.length("text"), F.lit(0))
     kind = F.lower("kind")
     return table(spark, d, "documents").select("doc_id", F.when(kind.isin("mind", "journal"), 7).when(kind == "knowledge", 6).when(size > 3000, 7).when(size > 1000, 6).otherwise(5).alias("salience"))
@@ -628,7 +628,5 @@ def ruminate_context(spark, d):
 @query("", """SELECT query_id, id, source_agent, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, result_id) AS n FROM (SELECT DISTINCT query_id, result_id, id, source_agent, name, score FROM federation_results WHERE score >= 0.4)) WHERE n <= 10""")
 def federated_query(spark, d):
     """The ten best answers of all peers to each query."""
-    from memlattice.tables import table
-
     r = table(spark, d, "federation_results").where("score >= 0.4").select("query_id", "result_id", "id", "source_agent", "name", "score").distinct()
     return top_k(r, 10, ["query_id"], F.desc("score"), "result_id").drop("result_id")

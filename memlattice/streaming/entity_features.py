@@ -31,11 +31,12 @@ def named(column: Column | str) -> Column:
 
 
 def events(traces: DataFrame, shards: int) -> DataFrame:
-    """Retrieval traces as events. Without a trace_id a row is its own event (whole repeats of it are one)."""
-    own = F.struct(*[F.col(c) for c in traces.columns])
+    """Retrieval traces as events. Without a trace_id a row is its own event (repeats of it, in the columns that are
+    read, are one). Other columns are not read."""
+    own = F.when(F.col("trace_id").isNull(), F.struct("session_id", "tool_used", "retry_within_60s", "timestamp", "ingested_at"))
     return traces.select(
-        F.xxhash64("trace_id", F.when(F.col("trace_id").isNull(), own)).alias("h1"),
-        F.xxhash64(F.lit("second"), "trace_id", F.when(F.col("trace_id").isNull(), own)).alias("h2"),
+        F.xxhash64("trace_id", own).alias("h1"),
+        F.xxhash64(F.lit("second"), "trace_id", own).alias("h2"),
         F.coalesce(F.unix_micros("ingested_at"), F.lit(-(2**62))).alias("version"),
         named("session_id").alias("entity"),
         named("tool_used").alias("type"),

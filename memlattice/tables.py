@@ -44,8 +44,3 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def rows(df: DataFrame) -> int:
-    """Row count of a materialized table, which Parquet answers from its footers."""
-    return df.count()
