@@ -575,7 +575,7 @@ _META = " OR ".join(f"regexp_matches(lower(t), '{p}')" for p in T.META_OPENERS)
 
 @query(
     "mem",
-    f""", t AS (SELECT id, trim(coalesce(definition, ''), ' ' || chr(9) || chr(13) || chr(10)) AS t FROM mem), h AS (SELECT *, {_HITS} AS hits FROM t)
+    rf""", t AS (SELECT id, trim(coalesce(definition, ''), ' ' || chr(9) || chr(13) || chr(10)) AS t FROM mem), h AS (SELECT *, {_HITS} AS hits FROM t)
 SELECT id, array_to_string(list_filter([CASE WHEN length(t) < 20 THEN 'too_short' END, CASE WHEN length(t) > 2000 THEN 'too_long' END,
   CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?]["'')\]]?$') THEN 'no_sentence_end' END, CASE WHEN regexp_matches(t, '^(#{{1,6}}\s|\*\*)') THEN 'markdown' END, CASE WHEN {_META} THEN 'meta_opener' END,
   CASE WHEN regexp_matches(t, '\bConcept\s+[A-Z]\b') THEN 'placeholder' END, CASE WHEN hits >= 2 THEN 'generic' END, CASE WHEN hits = 1 THEN 'generic_unchecked' END], lambda x: x IS NOT NULL), ' ') AS problems FROM h""",

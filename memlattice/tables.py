@@ -27,7 +27,7 @@ def key(column: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only a local session may go without that setting; it gets a
+    """A new folder under spark.checkpoint.dir, removed when the driver's JVM ends. Only a local session may go without that setting; it gets a
     temporary folder, which is removed at exit. On a cluster a missing setting is an error, as a machine's own
     folder is not seen by other executors."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,7 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, base, True)
-    return f"{base}/memlattice-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/memlattice-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
