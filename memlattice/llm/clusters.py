@@ -11,6 +11,7 @@ cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,8 +134,7 @@ def fit_mixture(features: DataFrame, n: int, d: int, components: list[int], step
     features: x (array of d numbers). What goes to the driver and to the executors is the components' parameters and
     sums of statistics, whatever the number of rows.
     """
-    share = min(1.0, SEED_ROWS / n)
-    seeds = features.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).select("x").toArrow()
+    seeds = features.where(F.pmod(F.xxhash64("x"), F.lit(10**15)) < math.ceil(min(1.0, SEED_ROWS / n) * 10**15)).select("x").toArrow()
     seeds = matrix(seeds.column(0).combine_chunks(), d).astype(np.float64)
     seeds = seeds[np.lexsort(seeds.T)]
     fitted = {k: Mixture.start(seeds, k) for k in components}

@@ -133,8 +133,7 @@ def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 16, least: float
     if n == 0:
         return spark.createDataFrame([], "id string, neighbour string, score double, rank int")
     parts = max(1, min(most_parts, round(math.sqrt(n) / 3)))
-    share = min(1.0, sample_rows / n)
-    sampled = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < math.ceil(share * 1_000_000)).select("embedding").toArrow()
+    sampled = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(10**15)) < math.ceil(min(1.0, sample_rows / n) * 10**15)).select("embedding").toArrow()
     w = learn_router(unit(matrix(sampled.column(0).combine_chunks(), dim)), parts)
     sent = spark.sparkContext.broadcast(w)  # (dim + 1) x parts numbers, whatever the number of vectors
 
@@ -147,6 +146,7 @@ def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 16, least: float
     index = materialize(distinct.select("vec", "embedding").mapInArrow(routed, "vec bigint, parts array<int>, unit binary"), "index")
     held = index.select("vec", F.col("parts")[0].alias("part"), "unit")
     asked = index.select("vec", F.explode("parts").alias("part"), "unit")
+
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(held):
