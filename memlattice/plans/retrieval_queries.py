@@ -344,8 +344,10 @@ t AS (SELECT gl.id, m.category, list_cosine_similarity(gl.v, m.v) AS s FROM gl J
 SELECT id, 1 - coalesce(max(s) FILTER (category IS NULL OR category <> 'goal'), 0) AS forward_error FROM t GROUP BY id""",
 )
 def goal_forward_pe(spark, d):
+    """One less the likeness of the nearest memory that is no goal, of every goal's three nearest. Its SQL has the first
+    40 goals only."""
     m = memory_vectors(spark, d)
-    goals = m.where("category = 'goal'").orderBy("id").limit(40).select(F.col("id").alias("query_id"), "embedding")
+    goals = m.where("category = 'goal'").select(F.col("id").alias("query_id"), "embedding")
     near = R.nearest_batch(goals, m.select("id", "embedding"), DIM, 3).join(m.select("id", "category"), "id")
     other = F.when(F.coalesce(F.col("category") != "goal", F.lit(True)), F.col("score"))
     return near.groupBy(F.col("query_id").alias("id")).agg((1 - F.coalesce(F.max(other), F.lit(0.0))).alias("forward_error"))
