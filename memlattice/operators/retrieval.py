@@ -99,9 +99,16 @@ def lexical(docs: DataFrame, text: Column, k: int) -> DataFrame:
     return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
-def spread(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.5) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.5, query: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """id, score, hops, path: the greatest activation of each record over all paths of at most `depth` edges from the
-    seeds (id, score); of equal scores the shorter, then the smaller path. A step multiplies by decay and weight."""
+    seeds (id, score); of equal scores the shorter, then the smaller path. A step multiplies by decay and weight, and,
+    if a query vector (one row with `query`) and the records' vectors (id, embedding) are given, by the cosine of query
+    and target, 0.1 at least: 0.1 for a vector that is not usable, 1 for a record without one."""
+    if query is not None and rows is not None:
+        dim = F.size("query")
+        likeness = F.when(usable("embedding", dim), F.greatest(F.lit(0.1), cosine("embedding", "query"))).when(F.size("embedding") > 0, 0.1).otherwise(1.0)
+        factor = rows.crossJoin(F.broadcast(query.select("query").limit(1))).select(F.col("id").alias("target_id"), likeness.alias("factor"))  # one row
+        edges = edges.join(factor, "target_id", "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0)))
     level = seeds.select("id", "score", F.lit(0).alias("hops"), F.array("id").alias("path"))
     found = level
     step = edges.select(F.col("source_id").alias("id"), "target_id", "weight")

@@ -12,7 +12,7 @@ from memlattice.operators import retrieval as R
 from memlattice.plans import memory_queries as Q
 from memlattice.plans import model as M
 from memlattice.plans.model import with_sql
-from memlattice.tables import table
+from memlattice.tables import materialize, table
 from memlattice.vectors import usable
 
 QUERIES: dict = {}
@@ -155,12 +155,23 @@ def spread_activation(spark, d):
 
 
 @query("mem obs edg", _SPREAD + f" SELECT m.id, a.score * {RECALL} * (0.5 + 0.5 * m.salience) AS composite FROM act a JOIN mem m ON lower(m.id) = a.id WHERE m.fsrs.stability > 0 AND m.salience IS NOT NULL ORDER BY round(composite, 9) DESC, m.id LIMIT 5")
-def hybrid_query(spark, d):
-    """Nearest neighbours, spread over the graph, ranked by likeness, recall and salience."""
-    a = activated(spark, d).withColumnRenamed("id", "k")
+def hybrid_query(spark, d, limit: int = 5, min_score: float = 0.3):
+    """Nearest neighbours and what text search finds besides, spread over the graph with regard to the query, ranked by
+    likeness, recall and salience. The first usable observation is the query, by its vector and its content. Its SQL has
+    neither the text search nor the factor of the spread nor the least score."""
+    first = M.observations(spark, d).where(usable("embedding", DIM)).orderBy("id").limit(1)
+    probe = materialize(first.select(F.col("id").alias("query_id"), F.col("content").alias("text"), F.col("embedding").alias("query")), "probe")
+    vectors, k = M.memories(spark, d).select("id", "embedding"), max(3 * limit, 15)
+    near = R.nearest(memory_vectors(spark, d), probe, k).select("id", "score")
+    found = R.bm25(searchable(spark, d), probe.select("query_id", "text"), k).select("id", F.col("score").alias("own")).join(near, "id", "left_anti")
+    found = found.join(vectors, "id").crossJoin(F.broadcast(probe.select("query")))  # one row
+    found = found.select("id", F.when(usable("embedding", DIM), S.cosine("embedding", "query")).otherwise(F.col("own")).alias("score"))
+    seeds = materialize(near.unionByName(found).select(F.lower("id").alias("id"), "score"), "seeds")
+    a = R.spread(seeds, M.edges(spark, d), 2, query=probe, rows=vectors.withColumn("id", F.lower("id")))
+    a = a.where(F.col("score") >= min_score).withColumnRenamed("id", "k")
     m = M.memories(spark, d).where("fsrs.stability > 0 and salience is not null").withColumn("k", F.lower("id"))
     scored = a.join(m, "k").select("id", (F.col("score") * recall_now() * (0.5 + 0.5 * F.col("salience"))).alias("composite"))
-    return scored.orderBy(F.desc(F.round("composite", 9)), "id").limit(5)
+    return scored.orderBy(F.desc(F.round("composite", 9)), "id").limit(limit)
 
 
 @query("mem obs", f", n AS (SELECT * FROM kn ORDER BY score DESC, id LIMIT 20) SELECT id, salience * {RECALL} AS rank, substring(definition, 1, 80) AS snippet FROM n WHERE fsrs.stability > 0 AND salience IS NOT NULL ORDER BY round(rank, 9) DESC, id LIMIT 3")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(column: str, dim: int) -> Column:
+def usable(column: str, dim: int | Column) -> Column:
     """Whether a vector has dim numbers, none of them null, NaN or infinite, and is not all zero."""
     v = F.col(column)
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

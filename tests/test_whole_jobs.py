@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from memlattice.operators import retrieval
 from memlattice.plans import retrieval_queries
 
 DAY = dt.datetime(2025, 12, 1, tzinfo=dt.UTC)
@@ -44,3 +45,32 @@ def test_every_goal_has_a_forward_error(spark, tables):
     cos = cosines(v, v) - 3 * np.eye(90)
     want = {f"m{i:02}": 1 - max([cos[i, j] for j in np.argsort(-cos[i])[:3] if j >= 60], default=0) for i in range(60)}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_text_search_finds_seeds_that_the_vectors_miss(spark, tables):
+    v = vectors(22, 2)
+    query, other = v[0], v[1]
+    mix = lambda c: (lambda u, w: (c * u + (1 - c * c) ** 0.5 * w).tolist())(query / np.linalg.norm(query), (o := other - query * (other @ query) / (query @ query)) / np.linalg.norm(o))
+    fsrs = (10.0, 5.0, 1, 0, "review", dt.datetime(2026, 1, 1, tzinfo=dt.UTC))
+    memory = lambda i, vector, text, salience=0.1: {"id": i, "definition": text, "embedding": vector, "salience": salience, "fsrs": fsrs, "updated_at": DAY}
+    rows = [memory(f"near{i:02}", mix(0.5 + i / 100), "other words") for i in range(15)]
+    rows += [memory("rare-vector", mix(0.45), "the quokka", 1.0), memory("rare-none", None, "a quokka and its wombat", 0.9), memory("rare-far", mix(0.2), "one quokka more", 1.0)]
+    rows += [memory("linked", mix(0.9), "elsewhere", 1.0), memory("missed", mix(0.4), "third words", 1.0)]
+    rows[-2]["faded"] = True  # found over an edge only
+    threads = [{"id": "t", "related_memory_ids": ["x", "y", "z", "near14", "linked"], "created_at": DAY, "updated_at": DAY}]
+    rows += [memory(i, None, "") for i in ("x", "y", "z")]
+    d = tables(memories=rows, threads=threads, observations=[{"id": "o", "content": "Quokka! Wombat!", "embedding": query.tolist(), "processed": False, "created_at": DAY, "updated_at": DAY}])
+    got = {r.id: r.composite for r in retrieval_queries.hybrid_query(spark, d, 30).collect()}
+    assert got["rare-vector"] == pytest.approx(0.45, abs=1e-6)
+    assert got["rare-none"] > 0.3 * 0.95 and not {"rare-far", "x"} & set(got)
+    small = [r.id for r in retrieval_queries.hybrid_query(spark, d).collect()]
+    assert len(small) == 5 and small[:2] == ["rare-none", "rare-vector"] and "missed" not in small
+
+
+def test_spread_with_a_query(spark):
+    seeds = spark.createDataFrame([("a", 1.0)], "id string, score double")
+    edges = spark.createDataFrame([("a", "like", 1.0), ("a", "unlike", 1.0), ("a", "none", 1.0), ("a", "short", 1.0)], "source_id string, target_id string, weight double")
+    rows = spark.createDataFrame([("like", [3.0, 4.0]), ("unlike", [-1.0, 0.0]), ("none", None), ("short", [1.0])], "id string, embedding array<float>")
+    query = spark.createDataFrame([([1.0, 0.0],)], "query array<float>")
+    got = {r.id: r.score for r in retrieval.spread(seeds, edges, 1, 0.5, query, rows).collect()}
+    assert got == pytest.approx({"a": 1.0, "like": 0.3, "unlike": 0.05, "none": 0.5, "short": 0.05})
