@@ -257,9 +257,9 @@ def neighbors(spark, d):
 
 @query()
 def fiedler(spark, d):
-    """The graph's algebraic connectivity, a row."""
+    """The algebraic connectivity of the graph of all memories, a row."""
     e = M.edges(spark, d)
-    value = graph.fiedler(e)
+    value = graph.fiedler(e, vertices=M.memories(spark, d).select(F.lower("id").alias("id")))
     return e.agg(F.count("*").alias("n_edges")).withColumn("fiedler", F.lit(value))
 
 

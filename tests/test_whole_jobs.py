@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from memlattice.operators import retrieval
+from memlattice.operators import graph, retrieval
 from memlattice.plans import retrieval_queries
 
 DAY = dt.datetime(2025, 12, 1, tzinfo=dt.UTC)
@@ -74,3 +74,23 @@ def test_spread_with_a_query(spark):
     query = spark.createDataFrame([([1.0, 0.0],)], "query array<float>")
     got = {r.id: r.score for r in retrieval.spread(seeds, edges, 1, 0.5, query, rows).collect()}
     assert got == pytest.approx({"a": 1.0, "like": 0.3, "unlike": 0.05, "none": 0.5, "short": 0.05})
+
+
+def test_connectivity_of_all_vertices(spark):
+    rng = np.random.default_rng(3)
+    kind = "id string, source_id string, target_id string, weight double"
+    pairs = {(i, i + 1) for i in range(11)} | {(0, j) for j in range(2, 6)}  # a hub and a long tail
+    rows = [(f"{i:03}", f"v{a}", f"v{b}", float(rng.integers(3, 10)) / 10) for i, (a, b) in enumerate(sorted(pairs))]
+    laplacian = np.zeros((12, 12))
+    for (a, b), (*_, w) in zip(sorted(pairs), rows, strict=True):
+        laplacian[[a, b], [b, a]] -= w
+        laplacian[[a, b], [a, b]] += w
+    edges = spark.createDataFrame(rows, kind).coalesce(1)
+    vertices = spark.createDataFrame([(f"v{i}",) for i in range(12)], "id string").coalesce(1)
+    assert graph.fiedler(edges, vertices=vertices) == pytest.approx(np.linalg.eigvalsh(laplacian)[1], rel=1e-4)
+    alone = spark.createDataFrame([("alone",)], "id string")
+    assert graph.fiedler(edges, vertices=vertices.union(alone)) == 0
+    two = spark.createDataFrame([("1", "a", "b", 1.0), ("2", "b", "c", 1.0), ("3", "x", "y", 1.0)], kind)
+    assert graph.fiedler(two) == 0
+    with pytest.raises(ArithmeticError):
+        graph.fiedler(edges, 1)
