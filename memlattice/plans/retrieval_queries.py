@@ -285,16 +285,26 @@ deg AS (SELECT source_id, count(*) AS n FROM edg GROUP BY source_id),
 cl AS (SELECT c.id, CASE WHEN score >= 0.30 AND NOT (coalesce(n, 0) < 2 AND score < 0.32) THEN memory_id END AS memory_id, score FROM c LEFT JOIN deg ON source_id = lower(memory_id))"""
 
 
-def clustered(spark, d, least: float = 0.30, sure: float = 0.32) -> DataFrame:
+def cluster_thresholds(spark, d) -> DataFrame:
+    """namespace, threshold of the namespaces that have one."""
+    return table(spark, d, "dream_options").where("cluster_threshold is not null").select("namespace", F.col("cluster_threshold").alias("threshold"))
+
+
+def clustered(spark, d, least: float = 0.70, margin: float = 0.10) -> DataFrame:
     """The oldest unprocessed observations with the memory that each belongs to, or none: the nearest one, if it is near
-    enough; a memory with fewer than two links must be nearer."""
-    o = M.observations(spark, d).where(~F.col("processed")).where(usable("embedding", DIM)).orderBy("created_at", "id").limit(50)
-    m = memory_vectors(spark, d).where(~F.coalesce("faded", F.lit(False))).select("id", "embedding")
-    near = R.nearest_batch(o.select(F.col("id").alias("query_id"), "embedding"), m, DIM, 1)
+    enough; a memory with fewer than two links must be nearer by the margin. The limit is that of the memory's namespace
+    (observations have none), `least` where that has none. Observations without a usable embedding belong to no memory.
+    The SQL has limits of 0.30 and 0.32 and leaves those observations out."""
+    o = M.observations(spark, d).where(~F.col("processed")).orderBy("created_at", "id").limit(50).select(F.col("id").alias("query_id"), "embedding")
+    m = memory_vectors(spark, d).where(~F.coalesce("faded", F.lit(False)))
+    near = R.nearest_batch(o, m.select("id", "embedding"), DIM, 1).join(m.select("id", "namespace"), "id")
+    near = near.join(F.broadcast(cluster_thresholds(spark, d)), "namespace", "left")  # one row a namespace
     degree = M.edges(spark, d).groupBy(F.col("source_id").alias("k")).agg(F.count("*").alias("n"))
     near = near.withColumn("k", F.lower("id")).join(degree, "k", "left")
-    held = (F.col("score") >= least) & ~((F.coalesce("n", F.lit(0)) < 2) & (F.col("score") < sure))
-    return near.select(F.col("query_id").alias("id"), F.when(held, F.col("id")).alias("memory_id"), "score")
+    limit = F.coalesce("threshold", F.lit(least))
+    held = (F.col("score") >= limit) & ~((F.coalesce("n", F.lit(0)) < 2) & (F.col("score") < limit + margin))
+    near = near.select("query_id", F.when(held, F.col("id")).alias("memory_id"), "score")
+    return o.select("query_id").join(near, "query_id", "left").select(F.col("query_id").alias("id"), "memory_id", "score")
 
 
 @query("mem obs edg", _CLUSTER + " SELECT id, memory_id, score FROM cl")

@@ -94,3 +94,29 @@ def test_connectivity_of_all_vertices(spark):
     assert graph.fiedler(two) == 0
     with pytest.raises(ArithmeticError):
         graph.fiedler(edges, 1)
+
+
+def at(v, cosine, seed=9):
+    """A vector of that cosine to v."""
+    u, w = (x.astype(np.float64) for x in (v, vectors(1, seed)[0]))
+    u /= np.linalg.norm(u)
+    w -= u * (w @ u)
+    return (cosine * u + (1 - cosine**2) ** 0.5 * w / np.linalg.norm(w)).tolist()
+
+
+def test_clusters_by_the_limits_of_namespaces(spark, tables):
+    v = vectors(3, 4)
+    names = ["default", "tooling", "none"]
+    memories = [{"id": f"m{i}", "namespace": n, "embedding": v[i].tolist(), "updated_at": DAY} for i, n in enumerate(names)]
+    memories += [{"id": i, "updated_at": DAY} for i in ("p", "q")]
+    # m1 has two links, the others have none
+    threads = [{"id": f"t{i}", "related_memory_ids": ["m1", x], "created_at": DAY, "updated_at": DAY} for i, x in enumerate("pq")]
+    cases = {"a": (0, 0.81, "m0"), "b": (0, 0.79, None), "c": (1, 0.83, "m1"), "d": (1, 0.81, None), "e": (2, 0.81, "m2"), "f": (2, 0.5, None)}
+    observations = [{"id": i, "embedding": at(v[n], c)} for i, (n, c, _) in cases.items()] + [{"id": "null"}, {"id": "short", "embedding": [1.0]}, {"id": "zero", "embedding": [0.0] * 128}]
+    observations = [o | {"content": o["id"], "processed": False, "created_at": DAY, "updated_at": DAY} for o in observations]
+    options = [{"namespace": "default", "cluster_threshold": 0.7}, {"namespace": "tooling", "cluster_threshold": 0.82}, {"namespace": "none"}]
+    d = tables(memories=memories, threads=threads, observations=observations, dream_options=options)
+    want = {i: m for i, (_, _, m) in cases.items()} | {"null": None, "short": None, "zero": None}
+    assert {r.id: r.memory_id for r in retrieval_queries.dream_cluster(spark, d).collect()} == want
+    assert {r.id for r in retrieval_queries.dream_create(spark, d).collect()} == {i for i, m in want.items() if m is None}
+    assert {r.memory_id: r.evidence for r in retrieval_queries.cluster_evidence(spark, d).collect()} == {"m0": "a", "m1": "c", "m2": "e"}
