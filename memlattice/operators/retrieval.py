@@ -62,6 +62,38 @@ def nearest_batch(queries: DataFrame, rows: DataFrame, dim: int, k: int, least:
     return top_k(found, k, ["query_id"], F.desc(F.round("score", 9)), "id")
 
 
+def similarity_links(queries: DataFrame, rows: DataFrame, dim: int, block_rows: int = 4096) -> DataFrame:
+    """query_id, id, score, n_links: for each usable query row (query_id, embedding) the most similar row (id, embedding,
+    threshold), exactly, and the number of rows whose cosine is at least their threshold. A query does not meet its own
+    id; one that meets no row has a null id and no links. All queries meet all rows, in blocks."""
+    asked = queries.where(usable("embedding", dim)).select("query_id", "embedding")
+    q = asked.select(F.lit(0).alias("all"), F.col("query_id").alias("id"), "embedding")
+    r = rows.where(usable("embedding", dim)).select(F.lit(0).alias("all"), "id", "embedding", "threshold")
+
+    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            held = held.sort_values("id", kind="stable")
+            unit = lambda s: (m := np.stack(s.to_numpy()).astype(np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
+            ids, base, least = held.id.to_numpy(), unit(held.embedding), held.threshold.to_numpy()
+            for lo in range(0, len(asked), 512):
+                part = asked.iloc[lo : lo + 512]
+                cos = unit(part.embedding) @ base.T
+                cos[part.id.to_numpy()[:, None] == ids] = -3
+                best = np.argmax(cos.round(9), axis=1)
+                score = cos[np.arange(len(part)), best]
+                met = np.nonzero(score > -2)[0]
+                out.append((part.id.to_numpy()[met].astype(object), ids[best[met]].astype(object), score[met], (cos >= least).sum(axis=1)[met]))
+        if not out:
+            return pd.DataFrame()
+        return pd.DataFrame(dict(zip(("query_id", "id", "score", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = blockwise(q, r, ["all"], "id", search, "query_id string, id string, score double, n bigint", block_rows)
+    best = F.min_by(F.struct("id", "score"), F.struct((-F.round("score", 9)).alias("s"), "id"))
+    found = found.groupBy("query_id").agg(best.alias("b"), F.sum("n").alias("n_links")).select("query_id", "b.*", "n_links")
+    return asked.select("query_id").join(found, "query_id", "left").select("query_id", "id", "score", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def gate(neighbours: DataFrame, merge: float = 0.85, link: float = 0.5) -> DataFrame:
     """query_id, decision (merge, link, novel), max_similarity, nearest_id (null if novel), density of each query's
     five nearest (query_id, id, score). The limits rise with the density of the neighbourhood; only greater similarity

@@ -89,7 +89,11 @@ def pe_gate(spark, d):
 
 @query("mem obs", "SELECT query_id, id, score FROM nb WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 1")
 def similarity_join(spark, d):
-    return R.nearest_batch(asked(spark, d), memory_vectors(spark, d).select("id", "embedding"), DIM, 1, least=0.35)
+    """Every usable observation with its nearest memory and its number of memories at or above the cluster threshold of
+    the memory's namespace. The SQL has the observations of asked() only, a fixed 0.35 and no number."""
+    m = memory_vectors(spark, d).select("id", "namespace", "embedding").join(F.broadcast(cluster_thresholds(spark, d)), "namespace", "left")  # one row a namespace
+    m = m.select("id", "embedding", F.coalesce("threshold", F.lit(0.70)).alias("threshold"))
+    return R.similarity_links(M.observations(spark, d).select(F.col("id").alias("query_id"), "embedding"), m, DIM)
 
 
 @query(

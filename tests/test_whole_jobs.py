@@ -120,3 +120,26 @@ def test_clusters_by_the_limits_of_namespaces(spark, tables):
     assert {r.id: r.memory_id for r in retrieval_queries.dream_cluster(spark, d).collect()} == want
     assert {r.id for r in retrieval_queries.dream_create(spark, d).collect()} == {i for i, m in want.items() if m is None}
     assert {r.memory_id: r.evidence for r in retrieval_queries.cluster_evidence(spark, d).collect()} == {"m0": "a", "m1": "c", "m2": "e"}
+
+
+@pytest.mark.parametrize("block_rows", [7, 4096])
+def test_links_equal_brute_force(spark, block_rows):
+    v, w = vectors(40, 5), vectors(30, 6)
+    w[:10] = v[:10] + 0.5 * w[:10]  # alike, above their thresholds or not
+    least = [0.70, 0.80, 0.95] * 10
+    q = spark.createDataFrame([(f"o{i:02}", x.tolist()) for i, x in enumerate(v)] + [("null", None), ("zero", [0.0] * 128)], "query_id string, embedding array<float>")
+    r = spark.createDataFrame([(f"m{i:02}", x.tolist(), least[i]) for i, x in enumerate(w)] + [("bad", [1.0], 0.7)], "id string, embedding array<float>, threshold double")
+    got = {x.query_id: (x.id, round(x.score, 6), x.n_links) for x in retrieval.similarity_links(q, r, 128, block_rows).collect()}
+    cos = cosines(v, w)
+    assert got == {f"o{i:02}": (f"m{c.argmax():02}", round(c.max(), 6), (c >= least).sum()) for i, c in enumerate(cos)} and 0 < sum(x[2] for x in got.values()) < 10
+
+
+def test_similarity_join_has_every_observation(spark, tables):
+    v = vectors(1, 7)[0]
+    observations = [{"id": f"obs-{i:08x}", "embedding": at(v, c), "updated_at": DAY} for i, c in enumerate((0.75, 0.85, 0.1))]
+    memories = [{"id": f"m{n}", "namespace": n, "embedding": v.tolist(), "updated_at": DAY} for n in ("default", "tooling", "none")]
+    options = [{"namespace": "default", "cluster_threshold": 0.7}, {"namespace": "tooling", "cluster_threshold": 0.82}, {"namespace": "none"}]
+    d = tables(memories=memories, observations=observations, dream_options=options)
+    got = {r.query_id: (r.id, r.n_links) for r in retrieval_queries.similarity_join(spark, d).collect()}
+    assert got == {"obs-00000000": ("mdefault", 2), "obs-00000001": ("mdefault", 3), "obs-00000002": ("mdefault", 0)}
+    assert [tuple(r) for r in retrieval_queries.similarity_join(spark, tables(observations=observations[:1])).collect()] == [("obs-00000000", None, None, 0)]
