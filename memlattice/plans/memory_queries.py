@@ -475,8 +475,12 @@ _CONTRADICTED = """, contra AS (SELECT DISTINCT v AS id FROM (SELECT unnest([sou
 
 
 def contradicted(spark, d):
+    """The ends of edges of contradiction or tension, and the memories of open CONTRADICTION signals. The SQL of the
+    queries that use it has the edges only."""
     e = M.edges(spark, d).where(F.col("relation").isin("contradicts", "tensions-with"))
-    return e.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    open_ = M.signals(spark, d).where("type = 'CONTRADICTION' and not resolved")
+    signalled = M.signal_concepts(spark, d, open_).select(F.col("concept_id").alias("id"))
+    return e.select(F.explode(F.array("source_id", "target_id")).alias("id")).unionByName(signalled).distinct()
 
 
 @query("mem edg", _CONTRADICTED + " SELECT id FROM contra")

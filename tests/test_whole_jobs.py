@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from memlattice.operators import graph, retrieval
-from memlattice.plans import retrieval_queries
+from memlattice.plans import memory_queries, retrieval_queries
 
 DAY = dt.datetime(2025, 12, 1, tzinfo=dt.UTC)
 MEMORY = "id string, namespace string, name string, definition string, category string, salience double, access_count int, updated_at timestamp, last_accessed timestamp, embedding array<float>, tags array<string>, fsrs struct<stability: double, difficulty: double, reps: int, lapses: int, state: string, last_review: timestamp>, faded boolean, last_retrieval_score double, last_hop_count int"
@@ -143,3 +143,16 @@ def test_similarity_join_has_every_observation(spark, tables):
     got = {r.query_id: (r.id, r.n_links) for r in retrieval_queries.similarity_join(spark, d).collect()}
     assert got == {"obs-00000000": ("mdefault", 2), "obs-00000001": ("mdefault", 3), "obs-00000002": ("mdefault", 0)}
     assert [tuple(r) for r in retrieval_queries.similarity_join(spark, tables(observations=observations[:1])).collect()] == [("obs-00000000", None, None, 0)]
+
+
+def test_open_contradiction_signals_count(spark, tables):
+    v = vectors(4, 8)
+    fsrs = (1.0, 5.0, 1, 0, "review", dt.datetime(2025, 12, 1, tzinfo=dt.UTC))
+    memories = [{"id": f"M{i}", "embedding": v[i].tolist(), "fsrs": fsrs, "last_accessed": dt.datetime(2025, 12, 31, tzinfo=dt.UTC), "updated_at": DAY} for i in range(4)]
+    near = lambda i, m, error, processed=False: {"id": i, "embedding": at(v[m], 0.95), "prediction_error": error, "processed": processed, "updated_at": DAY}
+    observations = [near("open", 0, 0.9), near("done", 1, 0.9, True), near("surprise", 2, 0.6), near("null", 3, 0.9) | {"embedding": None}, near("novel", 3, 0.9) | {"embedding": at(v[3], 0.1)}]
+    d = tables(memories=memories, observations=observations)
+    assert [r.id for r in memory_queries.contradicted_ids(spark, d).collect()] == ["m0"]
+    want = {"M0": 2, "M1": 3, "M2": 3, "M3": 3}
+    assert {r.id: r.rating for r in memory_queries.dream_rating(spark, d).collect()} == want
+    assert {r.id: r.rating for r in retrieval_queries.dream_score(spark, d).collect()} == want
