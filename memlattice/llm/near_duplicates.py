@@ -159,9 +159,10 @@ def near_duplicates(df: DataFrame, limit: float = 0.7, least_words: int = 8, ban
     """Pairs of classes of one source with a likeness of `limit` or more, and the rows of each class.
 
     df: source, key, text. Returns (class_a < class_b, likeness) and (source, key, class). Null texts and texts with
-    fewer than least_words distinct words are in no class; whole repeats of a row are one. Pairs of a class with itself
+    fewer than least_words distinct words are in no class, nor are rows whose key is null; whole repeats of a row are one. Pairs of a class with itself
     aren't given: its rows have likeness 1. Other columns are not read.
     """
+    df = df.where("key is not null")
     docs = materialize(sketched(df, least_words, bands, band_rows, bits), "sketches")
 
     firsts = docs.where("bands is not null")

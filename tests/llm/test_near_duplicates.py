@@ -83,3 +83,10 @@ def test_large_buckets_are_compared_in_parts(spark):
     keyed = spark.createDataFrame(rows, "bucket bigint, class bigint, n bigint")
     got = sorted(tuple(r) for r in N.bucket_pairs(keyed, most=7).collect())
     assert got == sorted([*combinations(range(30), 2), (3, 99)])
+
+
+def test_a_copy_with_a_null_key_takes_no_links_away(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [("a", None, text, ""), ("a", "k1", text, ""), ("a", "k2", text + " eleven", "")]
+    links, members = N.near_duplicates(spark.createDataFrame(rows, KIND).coalesce(1))
+    assert {tuple(r) for r in N.expanded(links, members).collect()} == {("a", "k1", "k2")}
