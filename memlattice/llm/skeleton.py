@@ -104,9 +104,22 @@ def look_classes(prints: DataFrame) -> DataFrame:
     )
 
 
-def look_alike_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs of different ids (id_a < id_b) whose texts differ but look the same; an id occurs once in prints. Rows
-    that share a look with no other text leave before the pairs are made; copies of one text make no pair."""
-    shared = prints.join(look_classes(prints).select("look_hash"), "look_hash", "left_semi")
-    a, b = (shared.select("look_hash", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "text_hash")]) for s in "ab")
-    return a.join(b, "look_hash").where("id_a < id_b and text_hash_a <> text_hash_b").select("id_a", "id_b")
+def class_pairs(prints: DataFrame) -> DataFrame:
+    """text_hash_a < text_hash_b of each two texts of one look, however many rows have them."""
+    texts = prints.select("look_hash", "text_hash").distinct().join(look_classes(prints).select("look_hash"), "look_hash", "left_semi")
+    a, b = (texts.select("look_hash", F.col("text_hash").alias(f"text_hash_{s}")) for s in "ab")
+    return a.join(b, "look_hash").where("text_hash_a < text_hash_b").select("text_hash_a", "text_hash_b")
+
+
+def look_alike_pairs(prints: DataFrame, pieces: int = 64) -> DataFrame:
+    """Pairs of different ids (id_a < id_b) whose texts differ but look the same; an id occurs once in prints. Texts are
+    paired first, then pairs of texts become pairs of rows, so that copies of one text make no pair; the rows of a text
+    are cut by the hash of their id into `pieces`, each pair of which is a key of its own."""
+    rows = prints.select("id", "text_hash", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int").alias("piece"))
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
+    keys = class_pairs(prints)
+    for side, s in ((a, "a"), (b, "b")):
+        keys = keys.join(side.select(f"text_hash_{s}", f"piece_{s}").distinct(), f"text_hash_{s}")
+    left, right = keys.join(a, ["text_hash_a", "piece_a"]), keys.join(b, ["text_hash_b", "piece_b"])
+    both = left.join(right, ["text_hash_a", "piece_a", "text_hash_b", "piece_b"])
+    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))

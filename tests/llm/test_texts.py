@@ -81,6 +81,15 @@ def test_pairs_of_look_alikes(spark):
     assert S.look_alike_pairs(prints.limit(0)).count() == 0
 
 
+def test_texts_are_paired_before_their_rows(spark):
+    rows = [(i, "copy text") for i in range(200)] + [(200 + i, "соpy text") for i in range(30)] + [(300, "\uff43opy text"), (301, "other")]
+    prints = S.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    assert S.class_pairs(prints).count() == 3
+    groups = [range(200), range(200, 230), [300]]
+    want = sorted((i, j) for x in range(3) for y in range(x + 1, 3) for i in groups[x] for j in groups[y])
+    assert sorted(tuple(r) for r in S.look_alike_pairs(prints, 3).collect()) == want
+
+
 def first_fit_decreasing(sizes, room):
     bins = []
     for s in sorted(sizes, reverse=True):
