@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlattice.operators.references import orphan_references, orphans_by_month
-from memlattice.streaming.entity_features import feature_rows, traces_features
+from memlattice.streaming.entity_features import feature_cells, feature_table, traces_features
 from memlattice.tables import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = traces_features(spark, f"{sf_dir}/retrieval_traces.parquet")
+    cells = feature_cells(spark, traces_features(spark, f"{sf_dir}/retrieval_traces.parquet"))
     return cells.select(F.col("entity").alias("session_id"), F.col("type").alias("tool_used"), F.col("n").alias("n_calls"), F.col("n_flagged").alias("n_retries"), "last_ms")
 
 
 def p3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a session; its tools as JSON."""
-    rows = feature_rows(traces_features(spark, f"{sf_dir}/retrieval_traces.parquet"))
+    rows = feature_table(spark, traces_features(spark, f"{sf_dir}/retrieval_traces.parquet"))
     return rows.select(F.col("entity").alias("session_id"), F.col("n_events").alias("n_calls"), F.col("n_flagged").alias("n_retries"), "last_ms", F.col("n_types").alias("n_tools"), F.to_json("features").alias("tools"))
 
 
@@ -78,6 +78,9 @@ orphans AS (
 """
 ORACLE = {
     "p3_found": _CALLS + "SELECT * FROM cells",
+    "p3_features": _CALLS
+    + """SELECT session_id, sum(n_calls)::bigint AS n_calls, sum(n_retries)::bigint AS n_retries, max(last_ms) AS last_ms, count(*) AS n_tools,
+  '[' || string_agg('{"type":' || to_json(tool_used) || ',"n":' || n_calls || ',"flagged":' || n_retries || ',"last":' || last_ms || '}', ',' ORDER BY tool_used) || ']' AS tools FROM cells GROUP BY session_id""",
     "p5_found": _REFS + "SELECT DISTINCT thread_id, ref_field, ref_value, reason FROM orphans WHERE reason IS NOT NULL",
     "p5_by_month": _REFS
     + """SELECT ref_field, strftime(seen_at, '%Y-%m') AS month, reason,

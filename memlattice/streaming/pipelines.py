@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlattice.operators.filters import condition, template
 from memlattice.streaming.entity_features import source
+from memlattice.tables import subfolders
 
 
 def drain(stream: DataFrame, home: str, mode: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -28,7 +29,7 @@ def windows(stream: DataFrame, home: str, width: str = "1 day", lateness: str =
     )
     path = f"{home}/windows"
     drain(counted, home, "update", lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
-    if not folders(stream.sparkSession, path):
+    if not subfolders(stream.sparkSession, path):
         return stream.sparkSession.createDataFrame([], "window_start timestamp, event_type string, n bigint, total double")
     rows = stream.sparkSession.read.option("basePath", path).parquet(path)
     return rows.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "epoch").alias("x")).select("window_start", "event_type", "x.*")
@@ -47,20 +48,13 @@ def counted_batches(stream: DataFrame, home: str, threshold: int = 10) -> DataFr
         new.groupBy("namespace").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/{epoch}")
 
     drain(stream, home, "append", add)
-    epochs = [int(p) for p in folders(stream.sparkSession, path)]
+    epochs = [int(p) for p in subfolders(stream.sparkSession, path)]
     if not epochs:
         return stream.sparkSession.createDataFrame([], "namespace string, n_fired bigint, n_pending bigint")
     n = stream.sparkSession.read.parquet(f"{path}/{max(epochs)}")
     return n.select("namespace", F.floor(F.col("n") / threshold).alias("n_fired"), (F.col("n") % threshold).alias("n_pending"))
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names below a folder; none if it isn't there, as before a stream's first batch."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-
-
 def route(events: DataFrame, rules: list[dict[str, str]], fields: list[str], depth: int = 3) -> DataFrame:
     """id, namespace, depth, message: what the rules make of events, also of the events that they make, up to `depth`.
 

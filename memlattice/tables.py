@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.toString()
 
 
+def subfolders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names below a folder that begin with the prefix; none if the folder isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [n for s in fs.listStatus(at) if (n := s.getPath().getName()).startswith(prefix)] if fs.exists(at) else []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read again: it survives lost executors and is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{name}"

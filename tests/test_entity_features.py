@@ -62,3 +62,27 @@ def test_empty_table(spark, tmp_path):
     data = str(tmp_path / "in")
     spark.createDataFrame([], KIND).write.parquet(data)
     assert cells(spark, run_features(source(spark, data, 1), str(tmp_path / "home"))) == []
+
+
+def test_the_latest_time_leaves_with_its_event(spark, tmp_path):
+    data, home = str(tmp_path / "in"), str(tmp_path / "home")
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    ms = lambda h: 1751328000000 + h * 3_600_000
+    spark.createDataFrame([("a", "s1", "x", True, at(9), at(0), ""), ("b", "s1", "x", False, at(3), at(0), ""), ("c", "s1", "x", None, None, at(0), "")], KIND).coalesce(1).write.parquet(data)
+    path = run_features(source(spark, data, 1), home, shards=2, buckets=2, pages=1)
+    assert cells(spark, path) == [("s1", "x", 3, 1, ms(9))]
+    spark.createDataFrame([("a", "s2", "x", True, at(9), at(2), ""), ("b", "s1", "x", True, at(3), at(1), ""), ("b", "s1", "x", False, at(8), at(0), "")], KIND).coalesce(1).write.mode("append").parquet(data)
+    run_features(source(spark, data, 1), home, shards=2, buckets=2, pages=1)  # a late delivery of b changes nothing
+    assert cells(spark, path) == [("s1", "x", 2, 1, ms(3)), ("s2", "x", 1, 1, ms(9))]
+    spark.createDataFrame([("b", "s1", "x", True, None, at(5), "")], KIND).coalesce(1).write.mode("append").parquet(data)
+    run_features(source(spark, data, 1), home, shards=2, buckets=2, pages=1)
+    assert cells(spark, path) == [("s1", "x", 2, 1, -1), ("s2", "x", 1, 1, ms(9))]
+
+
+def test_only_two_epochs_of_a_bucket_stay(spark, tmp_path):
+    data, home = str(tmp_path / "in"), str(tmp_path / "home")
+    spark.createDataFrame(traces(200, 3), KIND).repartition(6).write.parquet(data)
+    path = run_features(source(spark, data, 1), home, shards=2, buckets=1, pages=3)
+    assert cells(spark, path) == expected(traces(200, 3))
+    run_features(source(spark, data, 1), home, shards=2, buckets=1, pages=3)  # nothing new
+    assert len(list((tmp_path / "home" / "features" / "bucket=0").glob("epoch=*"))) <= 2
