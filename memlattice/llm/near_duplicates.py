@@ -22,7 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from memlattice.tables import materialize
 
@@ -30,10 +29,10 @@ from memlattice.tables import materialize
 BANDS, BAND_ROWS, SKETCH_BITS = 44, 7, 512
 #: A candidate leaves if its sketch likeness is this much below the limit: over five deviations of the estimate.
 MARGIN = 0.2
-#: Records to look up again that are sent to all executors (some 50 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
-#: A bucket of more classes is compared in parts.
+#: A bucket of more classes is compared in parts; rows of a class are paired in pieces of about as many.
 BUCKET_ROWS = 1000
+#: Classes that a task remembers, so as not to sketch their copies; beyond that it starts afresh.
+SEEN_CLASSES = 1_000_000
 #: A word is a longest run of letters and digits of the lower-cased text.
 WORD = re.compile(r"[^\W_]+")
 
@@ -101,6 +100,8 @@ def sketched(df: DataFrame, least_words: int, bands: int = BANDS, band_rows: int
                     classes.append(class_of(source, hashes))
                     at.append(None if classes[-1] in seen else len(sets))
                     if at[-1] is not None:
+                        if len(seen) >= SEEN_CLASSES:
+                            seen.clear()
                         seen.add(classes[-1])
                         sets.append(hashes)
                 band = parity = np.zeros((0, 1), np.int64)
@@ -166,18 +167,21 @@ def near_duplicates(df: DataFrame, limit: float = 0.7, least_words: int = 8, ban
     docs = materialize(sketched(df, least_words, bands, band_rows, bits), "sketches")
 
     firsts = docs.where("bands is not null")
-    bucketed = firsts.select("source", "class", F.posexplode("bands").alias("band", "value"))
-    keyed = bucketed.select(F.xxhash64("source", "band", "value").alias("bucket"), "class").repartition("bucket").dropDuplicates(["bucket", "class"])
-    keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
-    pairs = bucket_pairs(materialize(keyed, "buckets")).distinct()
-    sketches = firsts.groupBy("class").agg(F.any_value("sketch").alias("sketch"))
+    # one row a class, whatever the number of tasks that met it: only then the bands are laid out
+    one = firsts.groupBy("class").agg(F.min("source").alias("source"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"))
+    one = materialize(one, "classes")
+    bucketed = one.select("source", "class", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("source", "band", "value").alias("bucket"), "class")
+    counts = materialize(bucketed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    keyed = materialize(bucketed.join(counts, "bucket"), "buckets")  # counts have a known size: sent to all while small
+    pairs = bucket_pairs(keyed).distinct()
+    sketches = one.select("class", "sketch")
     a, b = (sketches.select(F.col("class").alias(f"class_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
     alike = pairs.join(a, "class_a").join(b, "class_b").where(sketch_likeness("sketch_a", "sketch_b", bands * band_rows, bits) >= limit - MARGIN)
     alike = materialize(alike.select("class_a", "class_b"), "candidates")
 
     asked = alike.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     asked = materialize(firsts.join(asked, "class", "left_semi").groupBy("class").agg(F.min_by(F.struct("source", "key"), F.struct("source", "key")).alias("at")).select("class", "at.*"), "asked")
-    found = df.select("source", "key", "text").join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["source", "key"])
+    found = df.select("source", "key", "text").join(asked, ["source", "key"])  # written, hence of a known size
     exact = word_sets(found).groupBy("class").agg(F.any_value("hashes").alias("hashes"))
     x, y = (exact.select(F.col("class").alias(f"class_{s}"), F.col("hashes").alias(f"hashes_{s}")) for s in "ab")
     links = (
@@ -188,14 +192,25 @@ def near_duplicates(df: DataFrame, limit: float = 0.7, least_words: int = 8, ban
     return links, docs.select("source", "key", "class").distinct()
 
 
-def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs of rows (source, key_a < key_b): of two linked classes, and of one class."""
-    one = members.select("source", F.col("key").alias("key_1"), F.col("class").alias("class_a"))
-    two = members.select(F.col("key").alias("key_2"), F.col("class").alias("class_b"))
-    across = links.select("class_a", "class_b").join(one, "class_a").join(two, "class_b")
-    within = one.join(two.withColumnRenamed("class_b", "class_a"), "class_a").where("key_1 < key_2")
-    both = across.select("source", "key_1", "key_2").unionByName(within.select("source", "key_1", "key_2")).where("key_1 <> key_2")
-    return both.select("source", F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b")).distinct()
+def expanded(links: DataFrame, members: DataFrame, most: int = BUCKET_ROWS) -> DataFrame:
+    """All pairs of rows (source, key_a < key_b): of two linked classes, and of one class.
+
+    A class's rows are cut by the hash of their key into pieces of about `most`; a pair of pieces is a key of its own,
+    so that a class with a third of all rows is many tasks, each with at most most x most pairs."""
+    sizes = materialize(members.groupBy("class").agg(F.ceil(F.count("*") / most).cast("int").alias("pieces"), F.count("*").alias("n")), "sizes")
+    a, b = (sizes.select(F.col("class").alias(f"class_{s}"), F.col("pieces").alias(f"pieces_{s}")) for s in "ab")
+    own = sizes.where("n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.col("pieces").alias("pieces_a"), F.col("pieces").alias("pieces_b"))
+    both = links.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").unionByName(own)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = both.withColumn("piece_a", upto("pieces_a")).withColumn("piece_b", upto("pieces_b")).where("class_a <> class_b or piece_a <= piece_b")
+    both = both.select("class_a", "piece_a", "class_b", "piece_b")
+    rows = members.join(sizes, "class").select("source", "key", "class", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int").alias("piece"))
+    left = rows.select("source", F.col("key").alias("key_1"), F.col("class").alias("class_a"), F.col("piece").alias("piece_a"))
+    right = rows.select(F.col("key").alias("key_2"), F.col("class").alias("class_b"), F.col("piece").alias("piece_b"))
+    keys = ["class_a", "piece_a", "class_b", "piece_b"]
+    pairs = both.join(left, ["class_a", "piece_a"]).join(both.join(right, ["class_b", "piece_b"]), keys)
+    pairs = pairs.where("case when class_a = class_b and piece_a = piece_b then key_1 < key_2 else key_1 <> key_2 end")
+    return pairs.select("source", F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b")).distinct()
 
 
 def with_links(links: DataFrame, members: DataFrame) -> DataFrame:
