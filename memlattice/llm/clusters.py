@@ -3,10 +3,11 @@
 The vectors are standardised and reduced to their principal components; a mixture of Gaussians with regularised full
 covariances is fitted to all of them by expectation-maximisation, each step one Spark job that adds up sufficient
 statistics; of several numbers of components the Bayesian information criterion takes one. A vector belongs to the
-components that are probable for it; within these, and within its own group (a namespace), vectors whose cosine reaches
-the group's threshold are brought together under the smallest id, in blocks. A last check against all members of a
-cluster leaves those that are similar to each of them. Members with the highest density under the mixture stand for a
-cluster.
+most probable component, and is compared, within its own group (a namespace), with the vectors of all components that
+are probable for it: those whose cosine reaches the group's threshold come together under the smallest id, over as many
+steps as it takes. An exact check against all members of such a group keeps those that are similar to each of them; the
+others are grouped again among themselves, until none is left. Members with the highest density under the mixture stand
+for a cluster.
 """
 
 from __future__ import annotations
@@ -25,25 +26,39 @@ from memlattice.operators.blocks import blockwise
 from memlattice.tables import materialize
 from memlattice.vectors import lists, matrix, unit
 
-REDUCED, STEPS, RIDGE, MOST_COMPONENTS, ROWS_A_COMPONENT = 12, 8, 0.05, 256, 400
-#: Initial means are drawn from at most about this many rows; everything else is fitted on all rows.
+REDUCED, STEPS, RIDGE, ROWS_A_COMPONENT = 12, 8, 0.05, 400
+#: After so many steps only the number of components with the best criterion is fitted on.
+TRIAL_STEPS = 3
+#: A model whose likelihood rises by less than this share in a step has settled.
+SETTLED = 1e-4
+#: Initial means are drawn from at most about this many rows (or four a component, if that is more); everything else is
+#: fitted on all rows.
 SEED_ROWS = 8192
-#: A vector belongs to at most this many components, those whose log probability is within WITHIN of the best.
-BELONGS, WITHIN, BLOCK_ROWS = 4, 6.0, 2048
+#: A vector is compared with at most this many components, those whose log probability is within WITHIN of the best.
+PROBES, WITHIN, BLOCK_ROWS = 8, 8.0, 2048
 
 
-def added(partials: DataFrame, length: int) -> DataFrame:
-    """Element-wise sums of packed float64 arrays by `name`: first within 16 salts, then of those."""
+def most_components(n: int) -> int:
+    """ROWS_A_COMPONENT rows each for small collections; for large ones twice the root of their number, so that neither
+    the fit nor the comparison within components grows with the square."""
+    return max(1, min(n // ROWS_A_COMPONENT, math.ceil(2 * math.sqrt(n))))
+
+
+def added(partials: DataFrame, lengths: dict[int, int]) -> dict[int, np.ndarray]:
+    """Element-wise sums of packed float64 arrays by `name`. Tasks' sums are added up within 16 salts by one aggregation;
+    16 arrays a name reach the driver, whatever the number of tasks."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(length[pdf.name.iloc[0]] if isinstance(length, dict) else length)
+        total = np.zeros(lengths[pdf.name.iloc[0]])
         for x in pdf.data:
             total += np.frombuffer(x)
-        return pd.DataFrame({"name": pdf.name.iloc[:1], "salt": pdf.salt.iloc[:1], "data": [total.tobytes()]})
+        return pd.DataFrame({"name": pdf.name.iloc[:1], "data": [total.tobytes()]})
 
-    kind = "name int, salt int, data binary"
     part = partials.select("name", F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt"), "data")
-    return part.groupBy("name", "salt").applyInPandas(add, kind).groupBy("name").applyInPandas(add, kind)
+    sums = {name: np.zeros(n) for name, n in lengths.items()}
+    for r in part.groupBy("name", "salt").applyInPandas(add, "name int, data binary").collect():
+        sums[r.name] += np.frombuffer(r.data)
+    return sums
 
 
 class Reduction:
@@ -70,7 +85,7 @@ def fit_reduction(vectors: DataFrame, dim: int, reduced: int) -> Reduction:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["name", "data"])
 
     partial = vectors.select("unit").mapInArrow(moments, "name int, data binary")
-    total = np.frombuffer(added(partial, 1 + dim + dim * dim).first().data)
+    total = added(partial, {0: 1 + dim + dim * dim})[0]
     return Reduction(total[0], total[1 : dim + 1], total[dim + 1 :].reshape(dim, dim), reduced)
 
 
@@ -129,18 +144,20 @@ def criterion(log_likelihood: float, k: int, d: int, n: int) -> float:
 
 
 def fit_mixture(features: DataFrame, n: int, d: int, components: list[int], steps: int = STEPS, ridge: float = RIDGE) -> tuple[Mixture, dict[int, float]]:
-    """The mixture with the lowest criterion over the given numbers of components, and each number's criterion.
+    """The mixture with the lowest criterion over the given numbers of components, and each number's criterion, as far as
+    it was fitted: after TRIAL_STEPS steps only the best goes on, until its likelihood settles or after `steps` steps.
 
     features: x (array of d numbers). What goes to the driver and to the executors is the components' parameters and
     sums of statistics, whatever the number of rows.
     """
-    seeds = features.where(F.pmod(F.xxhash64("x"), F.lit(10**15)) < math.ceil(min(1.0, SEED_ROWS / n) * 10**15)).select("x").toArrow()
+    sample = max(SEED_ROWS, 4 * max(components))
+    seeds = features.where(F.pmod(F.xxhash64("x"), F.lit(10**15)) < math.ceil(min(1.0, sample / n) * 10**15)).select("x").toArrow()
     seeds = matrix(seeds.column(0).combine_chunks(), d).astype(np.float64)
     seeds = seeds[np.lexsort(seeds.T)]
     fitted = {k: Mixture.start(seeds, k) for k in components}
     width = 1 + d + d * d
     scores: dict[int, float] = {}
-    for _ in range(steps):
+    for step in range(steps):
         sent = features.sparkSession.sparkContext.broadcast(fitted)
 
         def gather(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -155,22 +172,43 @@ def fit_mixture(features: DataFrame, n: int, d: int, components: list[int], step
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["name", "data"])
 
         partial = features.select("x").mapInArrow(gather, "name int, data binary")
-        for r in added(partial, {k: k * width + 1 for k in fitted}).collect():  # one row a number of components
-            s = np.frombuffer(r.data)
-            scores[r.name] = criterion(s[-1], r.name, d, n)
-            fitted[r.name] = Mixture.of(s[:-1], r.name, d, ridge)
+        before = dict(scores)
+        for k, s in added(partial, {k: k * width + 1 for k in fitted}).items():
+            scores[k] = criterion(s[-1], k, d, n)
+            fitted[k] = Mixture.of(s[:-1], k, d, ridge)
         sent.unpersist()
-    best = min(scores, key=lambda k: (scores[k], k))
+        if step + 1 >= TRIAL_STEPS:
+            best = min(fitted, key=lambda k: (scores[k], k))
+            fitted = {best: fitted[best]}
+            if abs(before.get(best, math.inf) - scores[best]) <= SETTLED * abs(scores[best]):
+                break
+    best = min(fitted, key=lambda k: (scores[k], k))
     return fitted[best], scores
 
 
-def clusters(df: DataFrame, dim: int, thresholds: DataFrame, default_threshold: float = 0.7, reduced: int = REDUCED, most_components: int = MOST_COMPONENTS) -> DataFrame:
+def smallest_reached(edges: DataFrame) -> DataFrame:
+    """rep, lead: the smallest rep that each can reach over the edges (rep, lead <= rep), one or several a rep; steps go
+    on until none changes a lead."""
+    leads = materialize(edges.groupBy("rep").agg(F.min("lead").alias("lead")), "leads")
+    while True:
+        further = leads.select(F.col("rep").alias("lead"), F.col("lead").alias("further")).where("further <> lead")
+        pulled = leads.join(further, "lead").select("rep", F.col("further").alias("lead"))  # the lead's lead
+        pushed = edges.join(leads.withColumnRenamed("lead", "mine"), "rep").select(F.col("lead").alias("rep"), F.col("mine").alias("lead"))  # the lead's other edges
+        both = leads.unionByName(pulled).unionByName(pushed).groupBy("rep").agg(F.min("lead").alias("lead"))
+        both = materialize(both, "leads")
+        if both.join(leads, ["rep", "lead"], "left_anti").isEmpty():
+            return both
+        leads = both
+
+
+def clusters(df: DataFrame, dim: int, thresholds: DataFrame, default_threshold: float = 0.7, reduced: int = REDUCED, components: int | None = None) -> DataFrame:
     """id, namespace, cluster_id, density: the members of clusters of two or more.
 
     df: id (unique, not null), namespace, embedding (dim numbers, not all zero). thresholds: namespace, threshold; a
     namespace that has none, or null, has default_threshold. Rows without a namespace are one group. cluster_id is the
-    smallest id of the cluster. Exact copies are compared once. Where similarity is not transitive, each vector joins
-    the smallest id that it reaches through neighbours, and those that are not similar to all members leave.
+    smallest id of the cluster. Exact copies are compared once. Where similarity is not transitive, what is linked is a
+    group, its members that are similar to all of it are a cluster, and the others are grouped again: each under the
+    smallest id that it is similar to. components: the greatest number tried, most_components(n) if not given.
     """
     spark = df.sparkSession
     rows = df.select("id", F.coalesce("namespace", F.lit("")).alias("ns"), "embedding", F.xxhash64("embedding").alias("vec"))
@@ -195,7 +233,7 @@ def clusters(df: DataFrame, dim: int, thresholds: DataFrame, default_threshold:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists(x.astype(np.float32))], names=["rep", "ns", "unit", "x"])
 
     placed = materialize(vectors.mapInArrow(features, "rep string, ns string, unit binary, x array<float>"), "features")
-    most = max(1, min(most_components, n // ROWS_A_COMPONENT))
+    most = components or most_components(n)
     mixture, _ = fit_mixture(placed, n, d, sorted({most, max(1, most // 2), max(1, most // 4)}))
     sent = spark.sparkContext.broadcast(mixture)
 
@@ -205,7 +243,7 @@ def clusters(df: DataFrame, dim: int, thresholds: DataFrame, default_threshold:
             comps, density = [], []
             for lo in range(0, len(x), 1024):
                 joint = sent.value.log_joint(x[lo : lo + 1024])
-                top = np.argsort(-joint, axis=1, kind="stable")[:, :BELONGS]
+                top = np.argsort(-joint, axis=1, kind="stable")[:, :PROBES]
                 value = np.take_along_axis(joint, top, 1)
                 comps += [t[v >= v[0] - WITHIN].tolist() for t, v in zip(top, value, strict=True)]
                 density.append(value[:, 0] + np.log(np.exp(joint - value[:, :1]).sum(axis=1)))
@@ -214,41 +252,80 @@ def clusters(df: DataFrame, dim: int, thresholds: DataFrame, default_threshold:
     assigned = materialize(placed.select("rep", "x").mapInArrow(belong, "rep string, components array<int>, density double"), "components")
     at = thresholds.groupBy(F.coalesce("namespace", F.lit("")).alias("ns")).agg(F.min("threshold").alias("threshold"))
     known = placed.select("rep", "ns", "unit").join(F.broadcast(at), "ns", "left").withColumn("threshold", F.coalesce("threshold", F.lit(default_threshold)).cast("double"))
-    spread = known.join(assigned.select("rep", F.explode("components").alias("component")), "rep")
+    held = known.join(assigned.select("rep", F.col("components")[0].alias("component")), "rep")
+    asked = known.join(assigned.select("rep", F.explode("components").alias("component")), "rep")
 
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x, y = (np.frombuffer(b"".join(s.unit), np.float32).reshape(-1, dim).astype(np.float64) for s in (a, b))
-        return x @ y.T >= a.threshold.to_numpy()[:, None] - 1e-7, (a.rep.to_numpy()[:, None] == b.rep.to_numpy())
+    def units_of(s: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(s.unit), np.float32).reshape(-1, dim).astype(np.float64)
 
     def lead(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The smallest similar row of each row on both sides; similarity goes both ways, probing does not."""
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": [], "lead": []})
-        b = b.sort_values("rep", kind="stable")
-        like, same = near(a, b)
-        like |= same
-        return pd.DataFrame({"rep": a.rep, "lead": b.rep.to_numpy()[like.argmax(axis=1)]})[like.any(axis=1)]
-
-    leads = blockwise(spread, spread, ["component", "ns"], "rep", lead, "rep string, lead string", BLOCK_ROWS)
-    leads = materialize(leads.groupBy("rep").agg(F.min("lead").alias("lead")), "leads")
-    for _ in range(2):  # where no component holds a whole cluster: the lead's lead
-        further = leads.where("rep <> lead").select(F.col("rep").alias("lead"), F.col("lead").alias("further"))
-        leads = leads.join(further, "lead", "left").select("rep", F.coalesce("further", "lead").alias("lead"))
-    leads = materialize(leads, "led")
-    sizes = leads.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1")
-    several = known.join(leads, "rep").join(sizes, "lead").withColumn("bucket", F.pmod(F.xxhash64("lead"), F.lit(max(1, n // 1024))))
+        a, b = a.sort_values("rep", kind="stable"), b.sort_values("rep", kind="stable")
+        like = units_of(a) @ units_of(b).T >= a.threshold.to_numpy()[:, None] - 1e-7
+        mine, theirs = a.rep.to_numpy(dtype=object), b.rep.to_numpy(dtype=object)
+        one = pd.DataFrame({"rep": mine, "lead": theirs[like.argmax(axis=1)]})[like.any(axis=1)]
+        two = pd.DataFrame({"rep": theirs, "lead": mine[like.argmax(axis=0)]})[like.any(axis=0)]
+        both = pd.concat([one, two])
+        return both[both["lead"] < both.rep]
+
+    found = materialize(blockwise(asked, held, ["component", "ns"], "rep", lead, "rep string, lead string", BLOCK_ROWS).distinct(), "found")
+    leads = smallest_reached(found.unionByName(known.select("rep", F.col("rep").alias("lead"))))
+
+    def alike(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each lead that both blocks have: its rows of either (by position) and which of them are similar."""
+        if not len(a) or not len(b):
+            return
+        code, _ = pd.factorize(pd.concat([a["lead"], b["lead"]]))
+        one, two = code[: len(a)], code[len(a) :]
+        at, to = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
+        x, y, limit = units_of(a), units_of(b), a.threshold.to_numpy() - 1e-7
+        theirs, _ = pd.factorize(pd.concat([a.rep, b.rep]))
+        both = np.intersect1d(one, two)
+        bounds = [np.searchsorted(c[o], both, side) for c, o in ((one, at), (two, to)) for side in ("left", "right")]
+        for lo, hi, low, high in zip(*bounds, strict=True):
+            mine, other = at[lo:hi], to[low:high]
+            like = x[mine] @ y[other].T >= limit[mine, None]
+            yield mine, other, like | (theirs[mine, None] == theirs[len(a) + other])
 
     def agree(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"lead": [], "rep": [], "n": [], "like": []})
-        like, same = near(a, b)
-        like = (like | same) & (a["lead"].to_numpy()[:, None] == b["lead"].to_numpy())
-        return pd.DataFrame({"lead": a["lead"], "rep": a.rep, "n": a.n, "like": like.sum(axis=1)})
-
-    agreed = blockwise(several, several, ["bucket"], "rep", agree, "lead string, rep string, n bigint, like bigint", BLOCK_ROWS)
-    agreed = agreed.groupBy("lead", "rep").agg(F.max("n").alias("n"), F.sum("like").alias("like")).where("like = n").select("rep", "lead")
-    agreed = materialize(agreed, "agreed")
-    alone = leads.join(agreed.select("rep"), "rep", "left_anti").select("rep", F.col("rep").alias("lead"))  # its copies may be a cluster
-    led = materialize(agreed.unionByName(alone), "clusters")
+        total = np.zeros(len(a), np.int64)
+        for mine, _, like in alike(a, b):
+            total[mine] = like.sum(axis=1)
+        return pd.DataFrame({"lead": a["lead"], "rep": a.rep, "n": a.n, "like": total})
+
+    def again(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("rep", kind="stable")
+        names, best = b.rep.to_numpy(dtype=object), np.full(len(a), -1)
+        for mine, other, like in alike(a, b):
+            best[mine] = np.where(like.any(axis=1), other[like.argmax(axis=1)], -1)
+        return pd.DataFrame({"rep": a.rep.to_numpy()[best >= 0], "lead": names[best[best >= 0]]})
+
+    def grouped(leads: DataFrame) -> DataFrame:
+        """known with lead, the lead's number of rows (two or more), and a bucket of some leads."""
+        sizes = leads.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1")
+        return known.join(leads.join(sizes, "lead"), "rep").withColumn("bucket", F.pmod(F.xxhash64("lead"), F.lit(max(1, n // 1024))))
+
+    parts, buckets = [], ["bucket"]
+    while True:  # the smallest id of a group of the second round on is similar to all of it: each round ends some
+        several = grouped(leads)
+        agreed = blockwise(several, several, buckets, "rep", agree, "lead string, rep string, n bigint, like bigint", BLOCK_ROWS)
+        agreed = agreed.groupBy("lead", "rep").agg(F.max("n").alias("n"), F.sum("like").alias("like"))
+        agreed = materialize(agreed.select("lead", "rep", (F.col("like") >= F.col("n")).alias("all")), "agreed")
+        kept = agreed.where("all")
+        parts.append(kept.join(kept.groupBy("lead").agg(F.min("rep").alias("name")), "lead").select("rep", F.col("name").alias("lead")))
+        left = agreed.where(~F.col("all")).select("rep", "lead")
+        if left.isEmpty():
+            break
+        several = grouped(left)
+        leads = blockwise(several, several, buckets, "rep", again, "rep string, lead string", BLOCK_ROWS).groupBy("rep").agg(F.min("lead").alias("lead"))
+        leads = materialize(leads, "led")
+    led = parts[0]
+    for p in parts[1:]:
+        led = led.unionByName(p)
+    alone = known.select("rep").join(led.select("rep"), "rep", "left_anti").select("rep", F.col("rep").alias("lead"))  # its copies may be a cluster
+    led = materialize(led.unionByName(alone), "clusters")
 
     copies = rows.groupBy("ns", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"))
     counts = led.join(copies.select("rep", "n_copies"), "rep").groupBy("lead").agg(F.sum("n_copies").alias("size"), F.min("rep").alias("cluster_id")).where("size > 1")
