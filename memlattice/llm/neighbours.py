@@ -25,9 +25,11 @@ from memlattice.operators.blocks import blockwise
 from memlattice.tables import materialize
 from memlattice.vectors import matrix, unit
 
-#: The classifier and its graph are fitted on at most about this many vectors, chosen by the hash of their id.
+#: The classifier and its graph are fitted on about this many vectors, or 32 a part if that is more, chosen by their hash.
 SAMPLE_ROWS = 8192
-MOST_PARTS, LINKS, BLOCK_ROWS = 256, 10, 4096
+#: Parts grow with the root of the number of vectors, up to what one machine can fit: some nine million vectors reach it.
+#: Beyond that parts become larger and are searched in more blocks; nothing is left out.
+MOST_PARTS, LINKS, BLOCK_ROWS = 1024, 10, 4096
 #: A query is routed to parts until their probabilities sum up to MASS, or there are `probes`.
 MASS, SHARPNESS = 0.8, 8
 
@@ -133,7 +135,7 @@ def nearest(df: DataFrame, dim: int, k: int = 5, probes: int = 16, least: float
     if n == 0:
         return spark.createDataFrame([], "id string, neighbour string, score double, rank int")
     parts = max(1, min(most_parts, round(math.sqrt(n) / 3)))
-    sampled = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(10**15)) < math.ceil(min(1.0, sample_rows / n) * 10**15)).select("embedding").toArrow()
+    sampled = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(10**15)) < math.ceil(min(1.0, max(sample_rows, 32 * parts) / n) * 10**15)).select("embedding").toArrow()
     w = learn_router(unit(matrix(sampled.column(0).combine_chunks(), dim)), parts)
     sent = spark.sparkContext.broadcast(w)  # (dim + 1) x parts numbers, whatever the number of vectors
 
