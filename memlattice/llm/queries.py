@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.look_alike_pairs(prints).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = materialize(skeleton.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text"), "prints")
+    return skeleton.look_members(prints).withColumnRenamed("id", "doc_id")
+
+
 def p8_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.skeletons(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -101,6 +109,7 @@ QUERIES = {
     "p7_packing": p7_packing,
     "p7_filling": p7_filling,
     "p8_found": p8_found,
+    "p8_classes": p8_classes,
     "p8_skeletons": p8_skeletons,
 }
 
@@ -134,7 +143,36 @@ near AS (
   SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS score FROM one a JOIN one b ON a.id <> b.id
   QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY score DESC, b.id) <= 5)
 """
+
+
+def look_sql() -> str:
+    """looks AS (doc_id, text, look): the prototype of each character by `translate` and `replace`, composed at the end."""
+    composed = lambda c: unicodedata.normalize("NFC", skeleton.skeleton(c))
+    table = {c: to for code in range(0x80, sys.maxunicode + 1) if not 0xD800 <= code < 0xE000 and (to := composed(c := chr(code))) != unicodedata.normalize("NFC", c)}
+    chars = lambda codes: f"list_aggregate(list_transform([{', '.join(map(str, codes))}], lambda x: chr(x)), 'string_agg', '')"
+    one, gone = {c: to for c, to in table.items() if len(to) == 1}, [ord(c) for c, to in table.items() if not to]
+    look = f"translate(text, {chars([*map(ord, one), *gone])}, {chars(map(ord, one.values()))})"
+    for c, to in table.items():
+        if len(to) > 1:
+            look = f"replace({look}, chr({ord(c)}), {' || '.join(f'chr({ord(x)})' for x in to)})"
+    return f"looks AS (SELECT doc_id, text, nfc_normalize({look}) AS look FROM documents WHERE text IS NOT NULL)"
+
+
+_BLANK = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 8232, 8233))
+_LOOKS = f"WITH {look_sql()}, seen AS (SELECT doc_id, text, look FROM looks WHERE translate(look, {_BLANK}, '') <> '') "
+_CLASSES = _WORDS + """,
+likes AS (SELECT DISTINCT source, words_a, words_b FROM pairs WHERE likeness >= 0.7 AND words_a <> words_b
+  UNION SELECT DISTINCT source, words_b, words_a FROM pairs WHERE likeness >= 0.7 AND words_a <> words_b),
+ends AS (SELECT source, words_a AS words, count(*) AS n_links FROM likes GROUP BY ALL),
+classes AS (SELECT source, words, min(key) AS class_id, count(DISTINCT key) AS n_copies FROM kept WHERE key IS NOT NULL GROUP BY ALL)
+"""
 ORACLE = {
+    "p1_classes": _CLASSES + "SELECT DISTINCT k.source, k.key, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM kept k JOIN classes USING (source, words) LEFT JOIN ends USING (source, words)",
+    "p8_found": _LOOKS + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM seen a JOIN seen b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p8_classes": _LOOKS
+    + """, t AS (SELECT look, text, min(doc_id) AS text_id, count(*) AS n FROM seen GROUP BY ALL),
+l AS (SELECT look, count(*) AS n_texts, sum(n)::bigint AS n_rows, min(text_id) AS class_id FROM t GROUP BY look HAVING count(*) > 1)
+SELECT doc_id, class_id, text_id, n_texts, n_rows FROM seen JOIN t USING (look, text) JOIN l USING (look)""",
     "p2_found": _CLUSTERS + "SELECT memory_id, cluster_id FROM led WHERE n > 1",
     "p4_found": _NEAREST + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM near WHERE score >= 0.75",
     "p1_found": _WORDS + "SELECT DISTINCT source AS source_table, key_a, key_b FROM pairs WHERE likeness >= 0.7",

@@ -16,13 +16,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts that look like a Latin letter. Each pair of lines is read column by column.
+# Letters that look like a letter of another script. Each pair of lines is read column by column.
 ALIKE = (
-    ("АВЕЅІЈКМНОРСТУХԌԚԜҮӀ", "ABESIJKMHOPCTYXGQWYI"),  # Cyrillic capitals
-    ("асеѕіјһорухԁԛԝӏѵ", "acesijhopyxdqwlv"),  # Cyrillic small letters
+    ("АВЕЅІЈКМНОРСТУХԌԚԜҮӀѴԀ", "ABESIJKMHOPCTYXGQWYIVd"),  # Cyrillic capitals
+    ("асеѕіјһорухԁԛԝӏѵүєг", "acesijhopyxdqwlvyɛr"),  # Cyrillic small letters
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek capitals
-    ("ονρϲϳιυα", "ovpcjiua"),  # Greek small letters
+    ("ονρϲϳιυασγ", "ovpcjiuaoy"),  # Greek small letters
     ("օոսհզցՕՍԼ", "onuhqgOUL"),  # Armenian
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4VSLCPKB"),  # Cherokee
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "ABEHIKMNOPCTYX"),  # Coptic capitals
+    ("ⲟⲣⲥ", "opc"),  # Coptic small letters
+    ("κкⲕ", "ĸĸĸ"),  # small letters of three scripts that look like each other
+    ("ıɩɑɡʏ", "iiagy"),  # Latin letters beside the basic ones
 )
 # Characters without a form of their own besides the class of format characters.
 UNSEEN = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0)
@@ -111,6 +117,15 @@ def class_pairs(prints: DataFrame) -> DataFrame:
     return a.join(b, "look_hash").where("text_hash_a < text_hash_b").select("text_hash_a", "text_hash_b")
 
 
+def look_members(prints: DataFrame) -> DataFrame:
+    """One row a document whose look several texts have: id, class_id (the smallest id of its look), text_id (the
+    smallest id of its text), n_texts and n_rows of the look. However many rows have a look, no pair is made."""
+    texts = prints.groupBy("look_hash", "text_hash").agg(F.min("id").alias("text_id"))
+    looks = look_classes(prints).withColumnRenamed("first_id", "class_id")
+    known = texts.join(looks, "look_hash").select("text_hash", "class_id", "text_id", "n_texts", "n_rows")
+    return prints.select("id", "text_hash").join(known, "text_hash").drop("text_hash")
+
+
 def look_alike_pairs(prints: DataFrame, pieces: int = 64) -> DataFrame:
     """Pairs of different ids (id_a < id_b) whose texts differ but look the same; an id occurs once in prints. Texts are
     paired first, then pairs of texts become pairs of rows, so that copies of one text make no pair; the rows of a text
