@@ -26,7 +26,7 @@ from memlattice.operators.blocks import blockwise
 from memlattice.tables import materialize
 from memlattice.vectors import lists, matrix, unit
 
-REDUCED, STEPS, RIDGE, ROWS_A_COMPONENT = 12, 8, 0.05, 400
+REDUCED, STEPS, RIDGE, ROWS_A_COMPONENT = 20, 8, 0.05, 400
 #: After so many steps only the number of components with the best criterion is fitted on.
 TRIAL_STEPS = 3
 #: A model whose likelihood rises by less than this share in a step has settled.
@@ -35,7 +35,7 @@ SETTLED = 1e-4
 #: fitted on all rows.
 SEED_ROWS = 8192
 #: A vector is compared with at most this many components, those whose log probability is within WITHIN of the best.
-PROBES, WITHIN, BLOCK_ROWS = 8, 8.0, 2048
+PROBES, WITHIN, BLOCK_ROWS = 12, 16.0, 2048
 
 
 def most_components(n: int) -> int:
