@@ -30,8 +30,9 @@ def rounded(c: Column, places: int) -> Column:
     return F.floor(c * 10**places + 0.5) / 10**places
 
 
-def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+def clamp(c: Column, low: float | Column, high: float | Column) -> Column:
+    bound = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.least(F.greatest(c, bound(low)), bound(high))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 from memlattice.functions import scoring as S
 from memlattice.functions import text as T
-from memlattice.operators import filters, graph
+from memlattice.operators import filters, graph, updates
 from memlattice.operators.forest import isolation_scores
 from memlattice.operators.retrieval import top_k
+from memlattice.operators.sequences import previous
 from memlattice.plans import model as M
 from memlattice.plans.model import with_sql
 from memlattice.tables import key, table
@@ -229,6 +230,20 @@ def graph_degree(spark, d):
     return graph.degrees(M.memories(spark, d).select(F.lower("id").alias("id")), M.edges(spark, d))
 
 
+@query(
+    "mem edg",
+    """, g AS (SELECT m.id, m.category, count(v) AS degree FROM (SELECT lower(id) AS id, category FROM mem) m LEFT JOIN (SELECT source_id AS v FROM edg UNION ALL SELECT target_id FROM edg) e ON e.v = m.id GROUP BY ALL)
+SELECT * FROM (SELECT 'most' AS kind, id, category, degree FROM g ORDER BY degree DESC, id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'least' AS kind, id, category, degree FROM g ORDER BY degree, id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'orphan' AS kind, id, category, degree FROM g WHERE degree = 0 ORDER BY id LIMIT 10)""",
+)
+def graph_report(spark, d):
+    """The five most and least connected memories, and the first ten that have no edge."""
+    v = M.memories(spark, d).select(F.lower("id").alias("id"), "category")
+    g = graph.degrees(v, M.edges(spark, d)).join(v, "id").select("id", "category", "degree")
+    part = lambda kind, rows, n: rows.limit(n).select(F.lit(kind).alias("kind"), "*")
+    return part("most", g.orderBy(F.desc("degree"), "id"), 5).unionByName(part("least", g.orderBy("degree", "id"), 5)).unionByName(part("orphan", g.where("degree = 0").orderBy("id"), 10))
+
+
 @query("mem edg", "SELECT id FROM (SELECT lower(id) AS id FROM mem) WHERE id NOT IN (SELECT source_id FROM edg UNION SELECT target_id FROM edg)")
 def orphans(spark, d):
     e = M.edges(spark, d)
@@ -277,19 +292,20 @@ def audit_intents(spark, d):
 
 @query(
     "obs",
-    f"""WITH w AS (SELECT prediction_error AS e, created_at >= {NOW} - INTERVAL 14 DAY AS is_new FROM obs WHERE processed AND prediction_error IS NOT NULL
-  AND coalesce(content_type, 'declarative') IN ('declarative', 'reflective') AND created_at >= {NOW} - INTERVAL 28 DAY)
-SELECT avg(e) FILTER (is_new) AS recent, avg(e) FILTER (NOT is_new) AS prior, count(*) FILTER (is_new) AS n_recent,
-  coalesce(count(*) FILTER (is_new) >= 5 AND avg(e) FILTER (is_new) < 0.10, false) AS saturated FROM w""",
+    f""", w AS (SELECT *, created_at >= {NOW} - INTERVAL 14 DAY AS is_new FROM obs WHERE processed AND created_at >= {NOW} - INTERVAL 28 DAY),
+n AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY is_new ORDER BY created_at DESC, id) <= 500),
+e AS (SELECT prediction_error AS e, is_new FROM n WHERE prediction_error >= 0 AND coalesce(content_type, 'declarative') IN ('declarative', 'reflective')),
+a AS (SELECT coalesce(avg(e) FILTER (is_new), 0) AS recent, coalesce(avg(e) FILTER (NOT is_new), 0) AS prior, count(*) FILTER (is_new) AS n_recent FROM e)
+SELECT *, CASE WHEN recent - prior > 0.03 THEN 'rising' WHEN recent - prior < -0.03 THEN 'declining' ELSE 'stable' END AS trend, n_recent >= 5 AND recent < 0.10 AS saturated FROM a""",
 )
 def pe_saturation(spark, d):
-    o = M.observations(spark, d).where("processed and prediction_error is not null").where(F.coalesce("content_type", F.lit("declarative")).isin("declarative", "reflective")).where(F.col("created_at") >= before(28))
-    new = F.col("created_at") >= before(14)
-    a = o.agg(F.avg(F.when(new, F.col("prediction_error"))).alias("recent"), F.avg(F.when(~new, F.col("prediction_error"))).alias("prior"), F.count_if(new).alias("n_recent"))
-    return a.withColumn("saturated", F.coalesce((F.col("n_recent") >= 5) & (F.col("recent") < 0.10), F.lit(False)))
-
-
-ORACLE["pe_saturation"] = ORACLE["pe_saturation"].replace("\nWITH w AS", ",\nw AS")
+    """Mean prediction error of the last 14 days and of the 14 before, of the newest 500 processed observations of each."""
+    o = M.observations(spark, d).where("processed").where(F.col("created_at") >= before(28)).withColumn("is_new", F.col("created_at") >= before(14))
+    o = top_k(o, 500, ["is_new"], F.desc("created_at"), "id").where("prediction_error >= 0").where(F.coalesce("content_type", F.lit("declarative")).isin("declarative", "reflective"))
+    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("prediction_error"))), F.lit(0.0))
+    a = o.agg(mean(F.col("is_new")).alias("recent"), mean(~F.col("is_new")).alias("prior"), F.count_if("is_new").alias("n_recent"))
+    change = F.col("recent") - F.col("prior")
+    return a.withColumns({"trend": F.when(change > 0.03, "rising").when(change < -0.03, "declining").otherwise("stable"), "saturated": (F.col("n_recent") >= 5) & (F.col("recent") < 0.10)})
 
 
 @query("mem obs", "SELECT (SELECT count(*) FROM mem) AS memories, (SELECT count(*) FROM obs WHERE NOT processed) AS unprocessed")
@@ -329,16 +345,19 @@ def session_table(spark, d):
 def around(sessions: DataFrame, observations: DataFrame) -> DataFrame:
     """session, n_observations: those from two hours before its start to four after, both ends included.
 
-    The number up to the end less the number before the start: both are running counts within a minute, plus the sum of
-    the minutes before, whose table is as long as the time span has minutes. So no session meets single observations."""
+    The number up to the end less the number before the start: both are running counts within a minute, plus those of
+    the minutes before on that day and of the days before. So no session meets single observations, and only the days'
+    sums (one row a day) are added up in one task."""
     micros = F.unix_micros("start_at")
     ends = F.array(*[F.struct((micros + h * F.lit(3_600_000_000)).alias("at"), F.lit(s).alias("sign"), F.lit(o).alias("nth")) for h, s, o in ((-2, -1, 0), (4, 1, 2))])
     asked = sessions.select("session", F.explode(ends).alias("e")).select("session", "e.*", F.lit(0).alias("n"))
     held = observations.where("created_at is not null").select(F.lit(None).cast("string").alias("session"), F.unix_micros("created_at").alias("at"), F.lit(0).alias("sign"), F.lit(1).alias("nth"), F.lit(1).alias("n"))
     both = asked.unionByName(held).withColumn("minute", F.floor(F.col("at") / 60_000_000))
     inside = F.sum("n").over(Window.partitionBy("minute").orderBy("at", "nth").rowsBetween(Window.unboundedPreceding, 0))
-    minutes = both.groupBy("minute").agg(F.sum("n").alias("n"))
-    minutes = minutes.select("minute", (F.sum("n").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    minutes = both.groupBy("minute", F.floor(F.col("minute") / 1440).alias("day")).agg(F.sum("n").alias("n"))
+    days = minutes.groupBy("day").agg(F.sum("n").alias("n"))
+    upto = lambda *by: F.sum("n").over((Window.partitionBy(*by) if by else Window).orderBy(*(["minute"] if by else ["day"])).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    minutes = minutes.withColumn("in_day", upto("day")).join(days.select("day", upto().alias("days")), "day").select("minute", (F.col("in_day") + F.col("days")).alias("before"))
     counted = both.withColumn("inside", inside).where("sign <> 0").join(minutes, "minute")
     return counted.groupBy("session").agg(F.sum(F.col("sign") * (F.col("inside") + F.col("before"))).alias("n_observations"))
 
@@ -354,6 +373,15 @@ def session_features(spark, d):
 ORACLE["session_features"] = feature_sql("SELECT f.session, duration_minutes, n_retrievals, retry_rate, n_ops, has_commits, n_observations FROM feat f JOIN near USING (session)")
 
 
+@query()
+def feature_summary(spark, d):
+    """Averages of the sessions' features."""
+    return session_table(spark, d).agg(F.count("*").alias("n_sessions"), F.avg("duration_minutes").alias("avg_duration"), F.avg("n_retrievals").alias("avg_retrievals"), F.avg("retry_rate").alias("avg_retry_rate"), (F.avg("has_commits") * 100).alias("commit_percent"))
+
+
+ORACLE["feature_summary"] = feature_sql("SELECT count(*) AS n_sessions, avg(duration_minutes) AS avg_duration, avg(n_retrievals) AS avg_retrievals, avg(retry_rate) AS avg_retry_rate, avg(has_commits) * 100 AS commit_percent FROM feat")
+
+
 @query()
 def anomaly_rules(spark, d):
     s = session_table(spark, d)
@@ -385,16 +413,28 @@ def session_anomalies(spark, d):
 # Windows and behaviour
 
 
-@query(
-    "tr",
-    """, q AS (SELECT session, query_text, lag(query_text) OVER (PARTITION BY session ORDER BY "timestamp", trace_id) AS before FROM tr WHERE session IS NOT NULL AND "timestamp" IS NOT NULL),
-t AS (SELECT list_distinct(regexp_extract_all(lower(coalesce(query_text, '')), '[a-z0-9_]{2,}')) AS a, list_distinct(regexp_extract_all(lower(before), '[a-z0-9_]{2,}')) AS b FROM q WHERE before IS NOT NULL)
-SELECT count(*) AS n_pairs, count(*) FILTER (CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double END > 0.5) AS n_reformulated FROM t""",
-)
+_WORDS = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9_]+'), lambda w: length(w) > 2))"
+_REFORMULATED = f""", q AS (SELECT coalesce(session, 'unknown') AS session, coalesce(query_text, '') AS query_text, lag(coalesce(query_text, '')) OVER (PARTITION BY coalesce(session, 'unknown') ORDER BY coalesce("timestamp", to_timestamp(0)), trace_id) AS before FROM tr),
+t AS (SELECT {_WORDS('query_text')} AS a, {_WORDS('before')} AS b FROM q WHERE before IS NOT NULL),
+rf AS (SELECT count(*) AS n_pairs, count(*) FILTER (CASE WHEN len(a) + len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double END > 0.5) AS n_reformulated FROM t)"""
+
+
+@query("tr", _REFORMULATED + " SELECT n_pairs, n_reformulated FROM rf")
 def reformulation_rate(spark, d):
-    w = Window.partitionBy("session").orderBy("timestamp", "trace_id")
-    t = M.traces(spark, d).where("session is not null and timestamp is not null").withColumn("before", F.lag("query_text").over(w)).where("before is not null")
-    return t.agg(F.count("*").alias("n_pairs"), F.count_if(T.jaccard(T.tokenize("query_text"), T.tokenize("before")) > 0.5).alias("n_reformulated"))
+    """Pairs of questions of a session that follow one another, and those of them that are alike. A session's days are
+    tasks of their own."""
+    t = M.traces(spark, d).select(F.coalesce("session", F.lit("unknown")).alias("session"), "trace_id", F.coalesce("query_text", F.lit("")).alias("query_text"), F.coalesce("timestamp", F.timestamp_seconds(F.lit(0))).alias("at"))
+    t = previous(t.withColumn("day", F.to_date("at")), ["session"], "day", ["at", "trace_id"], "query_text", "before").where("before is not null")
+    return t.agg(F.count("*").alias("n_pairs"), F.count_if(T.jaccard(F.array_distinct(T.long_words("query_text")), F.array_distinct(T.long_words("before"))) > 0.5).alias("n_reformulated"))
+
+
+@query("tr", _REFORMULATED + " SELECT greatest(0, least(1, r.retried / r.n * 0.6 + CASE WHEN n_pairs > 0 THEN n_reformulated / n_pairs::double ELSE 0 END * 0.4)) AS frustration FROM rf, (SELECT count(*)::double AS n, count(*) FILTER (retried) AS retried FROM tr) r")
+def vitals_frustration(spark, d):
+    """Retries and reformulations."""
+    t = M.traces(spark, d).agg(F.count("*").alias("n"), F.count_if("retried").alias("retried"))
+    a = t.crossJoin(reformulation_rate(spark, d))  # one row each
+    share = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(0.0)
+    return a.select(S.clamp(share("retried", "n") * 0.6 + share("n_reformulated", "n_pairs") * 0.4, 0.0, 1.0).alias("frustration"))
 
 
 @query(
@@ -417,10 +457,28 @@ def vitals_confidence(spark, d):
     return a.select("n_sentences", "n_hedging", "n_assertive", S.clamp(F.greatest(F.lit(0), n - F.col("q")) / n * 0.3 + sure * 0.7, 0.0, 1.0).alias("confidence"))
 
 
-@query("tr", r""", k AS (SELECT array_to_string(list_filter(string_split_regex(trim(lower(coalesce(query_text, ''))), '\s+'), lambda w: length(w) > 2)[1:2], '_') AS topic, detected_intent, tool FROM tr)
-SELECT count(DISTINCT topic) AS n_topics, count(*) FILTER (tool = 'wander') / count(*)::double AS wander_share FROM k""")
+@query("tr", f""", k AS (SELECT array_to_string(list_filter(string_split_regex(lower(coalesce(query_text, '')), '[^a-z0-9_]+'), lambda w: length(w) > 2)[1:2], '_') AS topic, detected_intent, tool FROM tr),
+a AS (SELECT count(DISTINCT nullif(topic, '')) AS n_topics, count(*) FILTER (tool = 'wander') / count(*)::double AS wander_share, count(*) FILTER (detected_intent NOT IN ('operational', 'ambiguous', '')) / count(*)::double AS novelty FROM k)
+SELECT *, greatest(0, least(1, least(1, n_topics / 20::double) * 0.4 + wander_share * 0.3 + novelty * 0.3)) AS curiosity FROM a""")
 def vitals_curiosity(spark, d):
-    return M.traces(spark, d).agg(F.count_distinct(T.topic_key("query_text")).alias("n_topics"), (F.count_if(F.col("tool") == "wander") / F.count("*")).alias("wander_share"))
+    """Different topics, walks, and questions that are not about operations."""
+    share = lambda c: F.count_if(c) / F.count("*")
+    a = M.traces(spark, d).agg(F.count_distinct(F.nullif(T.topic_key("query_text"), F.lit(""))).alias("n_topics"), share(F.col("tool") == "wander").alias("wander_share"), share(~F.col("detected_intent").isin("operational", "ambiguous", "")).alias("novelty"))
+    return a.withColumn("curiosity", S.clamp(F.least(F.lit(1.0), F.col("n_topics") / 20) * 0.4 + F.col("wander_share") * 0.3 + F.col("novelty") * 0.3, 0.0, 1.0))
+
+
+@query("mem thr obs op edg", f"""SELECT (SELECT greatest(0, least(1, (SELECT count(*) FROM edg WHERE created_at >= {NOW} - INTERVAL 30 DAY) / greatest(count(*), 1)::double)) FROM obs WHERE created_at >= {NOW} - INTERVAL 30 DAY) AS creative_energy,
+  (SELECT greatest(0, least(1, (SELECT coalesce(sum(len(updates)), 0) FROM thr) / greatest(count(*), 1)::double)) FROM op WHERE created_at >= {NOW} - INTERVAL 30 DAY) AS connection""")
+def vitals_energy(spark, d, days: int = 30):
+    """New edges for each observation, and thread updates for each entry of the operations log, of the last `days`."""
+    since = F.col("created_at") >= before(days)
+    e = M.edges(spark, d).where(since).agg(F.count("*").alias("e"))
+    o = M.observations(spark, d).where(since).agg(F.count("*").alias("o"))
+    u = M.threads(spark, d).agg(F.coalesce(F.sum(F.greatest(F.size("updates"), F.lit(0))), F.lit(0)).alias("u"))
+    p = M.ops(spark, d).where(since).agg(F.count("*").alias("p"))
+    all_ = e.crossJoin(o).crossJoin(u).crossJoin(p)  # one row each
+    share = lambda x, n: S.clamp(F.col(x) / F.greatest(F.col(n), F.lit(1)), 0.0, 1.0)
+    return all_.select(share("e", "o").alias("creative_energy"), share("u", "p").alias("connection"))
 
 
 @query(
@@ -471,19 +529,23 @@ def fsrs_schedule(spark, d):
     return m.select("id", s.alias("s")).select("id", "s.*")
 
 
-_CONTRADICTED = """, contra AS (SELECT DISTINCT v AS id FROM (SELECT unnest([source_id, target_id]) AS v FROM edg WHERE relation IN ('contradicts', 'tensions-with')))"""
+_CONTRADICTED = """, cv AS (SELECT id, embedding::double[] AS v FROM mem WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ca AS (SELECT obs.id, embedding::double[] AS v FROM obs JOIN sig ON sig.observation_id = obs.id WHERE type = 'CONTRADICTION' AND NOT resolved AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+cn AS (SELECT ca.id AS query_id, cv.id, list_cosine_similarity(ca.v, cv.v) AS score FROM ca, cv QUALIFY row_number() OVER (PARTITION BY ca.id ORDER BY round(score, 9) DESC, cv.id) <= 5),
+cg AS (SELECT query_id, avg(score) AS density, greatest(0, max(score)) AS best, first(id ORDER BY score DESC, id) AS id FROM cn GROUP BY query_id),
+contra AS (SELECT DISTINCT v AS id FROM (SELECT unnest([source_id, target_id]) AS v FROM edg WHERE relation IN ('contradicts', 'tensions-with')
+  UNION ALL SELECT lower(id) FROM cg WHERE best > greatest(0.35, least(0.65, 0.5 + (density - 0.5) * 0.15))))"""
 
 
 def contradicted(spark, d):
-    """The ends of edges of contradiction or tension, and the memories of open CONTRADICTION signals. The SQL of the
-    queries that use it has the edges only."""
+    """The ends of edges of contradiction or tension, and the memories of open CONTRADICTION signals."""
     e = M.edges(spark, d).where(F.col("relation").isin("contradicts", "tensions-with"))
     open_ = M.signals(spark, d).where("type = 'CONTRADICTION' and not resolved")
     signalled = M.signal_concepts(spark, d, open_).select(F.col("concept_id").alias("id"))
     return e.select(F.explode(F.array("source_id", "target_id")).alias("id")).unionByName(signalled).distinct()
 
 
-@query("mem edg", _CONTRADICTED + " SELECT id FROM contra")
+@query("mem edg sig", _CONTRADICTED + " SELECT id FROM contra")
 def contradicted_ids(spark, d):
     return contradicted(spark, d)
 
@@ -494,7 +556,7 @@ def due_for_review(spark, d):
 
 
 @query(
-    "mem edg",
+    "mem edg sig",
     _CONTRADICTED
     + f""", b AS (SELECT m.id, c.id IS NOT NULL AS contradicted, last_retrieval_score AS sc, last_hop_count AS hop, CASE WHEN {_DAYS('last_accessed')} <= CASE WHEN fsrs.state = 'relearning' THEN 1 ELSE 3 END THEN 3 ELSE 2 END AS base
   FROM mem m LEFT JOIN contra c ON c.id = lower(m.id)),
@@ -562,7 +624,13 @@ def infer_category(spark, d):
     return M.observations(spark, d).select("id", T.infer_category("content").alias("category"))
 
 
-@query()
+@query(
+    "obs",
+    r""", t AS (SELECT id, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS t FROM obs), w AS (SELECT *, regexp_extract(t, '^[^.!?]+[.!?]') AS s, string_split(t, ' ') AS w FROM t),
+p AS (SELECT *, list_filter(list_transform(range(1, least(len(w), 60) + 1), lambda i: array_to_string(w[1:i], ' ')), lambda x: length(regexp_replace(x, '[.,;:!?]+$', '')) <= 59) AS p FROM w),
+b AS (SELECT *, CASE WHEN len(p) > 0 THEN regexp_replace(p[-1], '[\s.,;:!?]+$', '') ELSE '' END AS b FROM p)
+SELECT id, CASE WHEN s <> '' AND length(s) <= 60 THEN trim(regexp_replace(s, '[.!?]+$', '')) WHEN length(t) <= 60 THEN t WHEN b <> '' THEN b || '…' ELSE trim(substring(t, 1, 59)) || '…' END AS name FROM b""",
+)
 def derive_name(spark, d):
     return M.observations(spark, d).select("id", T.derive_name("content").alias("name"))
 
@@ -600,25 +668,52 @@ def ops_ttl(spark, d):
     return M.ops(spark, d).where("created_at is not null").select("id", F.timestamp_micros(F.unix_micros("created_at") + days * F.lit(86_400_000_000)).alias("expires_at"))
 
 
-@query("", "SELECT doc_id, CASE WHEN lower(kind) IN ('mind', 'journal') THEN 7 WHEN lower(kind) = 'knowledge' THEN 6 WHEN length(text) > 3000 THEN 7 WHEN length(text) > 1000 THEN 6 ELSE 5 END AS salience FROM documents")
+@query(
+    "",
+    r"""WITH d AS (SELECT doc_id, lower(kind) AS kind, regexp_extract(coalesce(text, ''), '^---\r?\n((?s:.*?))\r?\n---', 1) AS fm, length(regexp_replace(coalesce(text, ''), '^---\r?\n(?s:.*?)\r?\n---\r?\n?', '')) AS size FROM documents),
+f AS (SELECT *, try_cast(regexp_extract(fm, '(?mi)^salience:\s*(\S+)', 1) AS double) AS own, lower(regexp_extract(fm, '(?mi)^status:\s*(\w+)', 1)) AS status, coalesce(nullif(lower(regexp_extract(fm, '(?mi)^type:\s*(\w+)', 1)), ''), kind) AS type FROM d)
+SELECT doc_id, CASE WHEN own IS NOT NULL THEN greatest(1, least(10, own)) WHEN status = 'active' THEN 7 WHEN status = 'archived' THEN 3 WHEN type IN ('mind', 'journal') THEN 7 WHEN type = 'knowledge' THEN 6
+  WHEN size > 3000 THEN 7 WHEN size > 1000 THEN 6 ELSE 5 END::double AS salience FROM f""",
+)
 def detect_salience(spark, d):
-    size = F.coalesce(F.length("text"), F.lit(0))
-    kind = F.lower("kind")
-    return table(spark, d, "documents").select("doc_id", F.when(kind.isin("mind", "journal"), 7).when(kind == "knowledge", 6).when(size > 3000, 7).when(size > 1000, 6).otherwise(5).alias("salience"))
+    """From the front matter (salience, status, type; the table's kind stands for a missing type), else from the length."""
+    meta = table(spark, d, "documents").select("doc_id", T.front_matter("text").alias("m"), F.lower("kind").alias("kind"), F.length(T.body("text")).alias("size"))
+    of = lambda k: F.try_element_at("m", F.lit(k))
+    own, status, type_ = of("salience").try_cast("double"), F.lower(of("status")), F.coalesce(F.lower(of("type")), F.col("kind"))
+    value = F.when(own.isNotNull(), S.clamp(own, 1, 10)).when(status == "active", 7).when(status == "archived", 3).when(type_.isin("mind", "journal"), 7).when(type_ == "knowledge", 6).when(F.col("size") > 3000, 7).when(F.col("size") > 1000, 6).otherwise(5)
+    return meta.select("doc_id", value.cast("double").alias("salience"))
 
 
-@query("mem", "SELECT id, regexp_replace(lower(name), '\\s+', '-', 'g') AS tag, length(definition) < 10 AS thin FROM mem WHERE name IS NOT NULL")
-def suggest_tags(spark, d):
-    return M.memories(spark, d).where("name is not null").select("id", F.regexp_replace(F.lower("name"), r"\s+", "-").alias("tag"), (F.length("definition") < 10).alias("thin"))
+# Wording of memories that are values or patterns.
+VALUE_SIGNS = ("loyalty", "honesty", "transparency", "integrity", "absolute transparency", "no hidden state", "genuinely useful", "usefulness over", "continuity matters", "grow genuinely", "worth having around", "honest about limits")
+PATTERN_SIGNS = ("disposition", "tendency", "practical and direct", "pushes back", "read before acting", "tinkerer", "goes wide before", "go wide before")
+YES_PREFIX = r"(?i)\A(?:YES[:\s]*\n*(?:Updated\s+)?(?:Definition[:\s]*)?\n*)"
+_ANY = lambda words: "(" + " OR ".join(f"contains(w, '{x}')" for x in words) + ")"
 
 
-@query("mem", """SELECT id, array_to_string(list_filter([CASE WHEN trim(coalesce(definition, '')) = '' THEN 'definition' END, CASE WHEN salience > 1 THEN 'salience' END, CASE WHEN confidence IS NULL THEN 'confidence' END,
-  CASE WHEN fsrs IS NULL THEN 'fsrs' END, CASE WHEN category IS NULL THEN 'category' END], lambda x: x IS NOT NULL), ' ') AS issues, CASE WHEN trim(coalesce(definition, '')) = '' THEN name ELSE definition END AS definition FROM mem""")
+@query(
+    "mem",
+    rf""", c AS (SELECT *, coalesce(definition, '') AS def, trim(regexp_replace(coalesce(definition, ''), '(?i)^(?:YES[:\s]*\n*(?:Updated\s+)?(?:Definition[:\s]*)?\n*)', ''), ' ' || chr(9) || chr(10) || chr(13)) AS clean FROM mem),
+f AS (SELECT *, CASE WHEN clean <> def THEN clean WHEN def = '' THEN name ELSE definition END AS new_def FROM c),
+g AS (SELECT *, lower(coalesce(name, '') || ' ' || coalesce(new_def, '')) AS w FROM f),
+h AS (SELECT *, CASE WHEN category IN ('topic', 'belief') THEN CASE WHEN {_ANY(VALUE_SIGNS)} OR regexp_matches(w, '\bvalue[sd]?\b') THEN 'value' WHEN category = 'topic' AND {_ANY(PATTERN_SIGNS)} THEN 'pattern' END END AS better FROM g)
+SELECT id, array_to_string(list_filter([CASE WHEN trim(def, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' END, CASE WHEN clean <> def THEN 'prefix' END, CASE WHEN coalesce(len(embedding), 0) = 0 THEN 'embedding' END, CASE WHEN salience < 0 OR salience > 1 THEN 'salience' END,
+  CASE WHEN access_count IS NULL THEN 'access' END, CASE WHEN better IS NOT NULL THEN 'category' END], lambda x: x IS NOT NULL), ' ') AS issues, new_def AS definition, greatest(0, least(1, salience)) AS salience, coalesce(access_count, 0) AS access_count, coalesce(better, category) AS category FROM h""",
+)
 def maintain_fix(spark, d):
-    """What is wrong with each memory, and its mended definition."""
-    empty = F.btrim(T.text_of("definition")) == ""
-    issues = F.array_compact(F.array(F.when(empty, "definition"), F.when(F.col("salience") > 1, "salience"), F.when(F.col("confidence").isNull(), "confidence"), F.when(F.col("fsrs").isNull(), "fsrs"), F.when(F.col("category").isNull(), "category")))
-    return M.memories(spark, d).select("id", F.array_join(issues, " ").alias("issues"), F.when(empty, F.col("name")).otherwise(F.col("definition")).alias("definition"))
+    """What is wrong with each memory, and its mended fields; a missing embedding is left to re-embedding."""
+    blanks = F.lit(" \t\n\r")
+    m = M.memories(spark, d).withColumn("def", T.text_of("definition")).withColumn("clean", F.btrim(F.regexp_replace("def", YES_PREFIX, ""), blanks))
+    m = m.withColumn("new_def", F.when(F.col("clean") != F.col("def"), F.col("clean")).when(F.col("def") == "", F.col("name")).otherwise(F.col("definition")))
+    words = F.lower(F.concat(T.text_of("name"), F.lit(" "), T.text_of("new_def")))
+    value = T.contains_any(words, VALUE_SIGNS) | words.rlike(r"\bvalue[sd]?\b")
+    m = m.withColumn("better", F.when(F.col("category").isin("topic", "belief"), F.when(value, "value").when((F.col("category") == "topic") & T.contains_any(words, PATTERN_SIGNS), "pattern")))
+    checks = {
+        "empty": F.btrim("def", blanks) == "", "prefix": F.col("clean") != F.col("def"), "embedding": F.coalesce(F.size("embedding"), F.lit(0)) <= 0,
+        "salience": (F.col("salience") < 0) | (F.col("salience") > 1), "access": F.col("access_count").isNull(), "category": F.col("better").isNotNull(),
+    }
+    issues = F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))
+    return m.select("id", F.array_join(issues, " ").alias("issues"), F.col("new_def").alias("definition"), S.clamp(F.col("salience"), 0.0, 1.0).alias("salience"), F.coalesce("access_count", F.lit(0)).alias("access_count"), F.coalesce("better", "category").alias("category"))
 
 
 @query("thr mem obs", """SELECT * FROM (SELECT 'thread' AS kind, id, priority AS rank FROM thr WHERE status IN ('open', 'active') ORDER BY priority DESC NULLS LAST, id LIMIT 5)
@@ -634,3 +729,70 @@ def federated_query(spark, d):
     """The ten best answers of all peers to each query."""
     r = table(spark, d, "federation_results").where("score >= 0.4").select("query_id", "result_id", "id", "source_agent", "name", "score").distinct()
     return top_k(r, 10, ["query_id"], F.desc("score"), "result_id").drop("result_id")
+
+
+_PRUNED = ORACLE["prune_candidates"].rsplit("SELECT id, len(list_filter", 1)[0]
+ORACLE["health_prune"] = _PRUNED + "SELECT mem.id, coalesce(faded, false) OR len(list_filter(p.r, lambda x: x IS NOT NULL)) >= 3 AS faded FROM mem JOIN p USING (id)"
+
+
+@query()
+def health_prune(spark, d):
+    """All memories, with the prune candidates faded."""
+    lost = prune_candidates(spark, d).select("id")
+    return updates.changed(M.memories(spark, d).select("id", F.coalesce("faded", F.lit(False)).alias("faded")), lost, "_hit", faded=F.lit(True))
+
+
+@query("mem", """, n AS (SELECT coalesce(namespace, '(none)') AS namespace, coalesce(category, '(none)') AS category, count(*) AS n FROM mem GROUP BY ALL)
+SELECT namespace, '{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}' AS histogram FROM n GROUP BY namespace""")
+def category_histogram(spark, d):
+    """A map of each namespace's categories to their numbers, as JSON."""
+    n = M.memories(spark, d).groupBy(F.coalesce("namespace", F.lit("(none)")).alias("namespace"), F.coalesce("category", F.lit("(none)")).alias("category")).agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.struct("category", "n")))  # a fixed set of names
+    return n.groupBy("namespace").agg(F.to_json(F.map_from_entries(entries)).alias("histogram"))
+
+
+@query("", """SELECT event_id, json_extract_string(p, '$.k') AS k, json_extract_string(p, '$.kind') AS kind, len(json_keys(p)) AS n_keys
+FROM (SELECT event_id, json_merge_patch(CASE WHEN json_valid(props) THEN props::json ELSE '{}'::json END, json_object('kind', event_type)) AS p FROM events)""")
+def merged_props(spark, d):
+    """The events' JSON properties (none if they are malformed), with the event's type merged into them."""
+    old = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    new = F.create_map(F.lit("kind"), F.col("event_type"))
+    both = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    return table(spark, d, "events").select("event_id", both.alias("p")).select("event_id", F.try_element_at("p", F.lit("k")).alias("k"), F.try_element_at("p", F.lit("kind")).alias("kind"), F.size("p").cast("bigint").alias("n_keys"))
+
+
+@query("thr", """SELECT id, array_to_string(list_concat([coalesce(title, '')], list_transform(coalesce(updates, []), lambda u: coalesce(u."content", '')))[1:100], ' | ') AS log,
+  coalesce(len(session_refs), 0) + CASE WHEN project IS NULL OR coalesce(list_contains(session_refs, project), false) THEN 0 ELSE 1 END AS n_refs FROM thr""")
+def thread_log(spark, d):
+    """Each thread's log with the title put before it, the first hundred entries; the number of its references once the
+    project is appended to them, if it is absent."""
+    log = updates.prepended(F.transform(F.coalesce("updates", F.array().cast("array<struct<timestamp: timestamp, content: string, session_ref: string>>")), lambda u: T.text_of(u["content"])), T.text_of("title"), 100)
+    refs = updates.appended(F.col("session_refs"), F.col("project"))
+    return M.threads(spark, d).select("id", F.array_join(log, " | ").alias("log"), F.size(refs).cast("bigint").alias("n_refs"))
+
+
+@query("mem", "SELECT id, name, category, updated_at FROM mem WHERE id = (SELECT min(id) FROM memories)")
+def point_lookup(spark, d):
+    """One memory by its id; the filter reaches the scan."""
+    first = table(spark, d, "memories").agg(F.min("id")).first()[0]  # one value
+    return M.memories(spark, d).where(F.col("id") == first).select("id", "name", "category", "updated_at")
+
+
+@query("sig", """, leg AS (SELECT 'sig-' || id AS id, 'NOTICE' AS type, prediction_error AS priority, created_at FROM obs WHERE prediction_error >= 0.3)
+SELECT id, type, priority, created_at FROM sig UNION ALL SELECT id, type, priority, created_at FROM leg WHERE id NOT IN (SELECT id FROM sig)""")
+def signals_union(spark, d):
+    """Signals of two sources, of which the typed one wins where both have an id; the other here has lesser surprises too."""
+    legacy = M.observations(spark, d).where("prediction_error >= 0.3").select(F.concat(F.lit("sig-"), "id").alias("id"), F.lit("NOTICE").alias("type"), F.col("prediction_error").alias("priority"), "created_at")
+    return filters.upsert(legacy, M.signals(spark, d).select("id", "type", "priority", "created_at"), "id")
+
+
+@query("tr", """SELECT before_id AS trace_id, trace_id AS retried_by, date_diff('millisecond', before_at, "timestamp") AS gap_ms FROM (
+  SELECT *, lag(trace_id) OVER (PARTITION BY session ORDER BY "timestamp", trace_id) AS before_id, lag("timestamp") OVER (PARTITION BY session ORDER BY "timestamp", trace_id) AS before_at FROM tr WHERE session IS NOT NULL AND "timestamp" IS NOT NULL)
+WHERE date_diff('millisecond', before_at, "timestamp") <= 60000""")
+def retries_within_a_minute(spark, d):
+    """Traces that another one of their session follows within a minute. A session's days are tasks of their own."""
+    t = M.traces(spark, d).where("session is not null and timestamp is not null").select("session", "trace_id", F.col("timestamp").alias("at"), F.to_date("timestamp").alias("day"))
+    t = t.withColumn("this", F.struct("trace_id", "at"))
+    t = previous(t, ["session"], "day", ["at", "trace_id"], "this", "before").where("before is not null")
+    gap = F.unix_millis("at") - F.unix_millis("before.at")
+    return t.where(gap <= 60_000).select(F.col("before.trace_id").alias("trace_id"), F.col("trace_id").alias("retried_by"), gap.alias("gap_ms"))

@@ -65,13 +65,13 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.concat(F.lit("sig-"), "id").alias("id"), kind.alias("type"), F.col("prediction_error").alias("priority"), F.coalesce("processed", F.lit(False)).alias("resolved"), "created_at", F.col("id").alias("observation_id"))
 
 
-def signal_concepts(spark: SparkSession, d: str, kinds: DataFrame) -> DataFrame:
+def signal_concepts(spark: SparkSession, d: str, kinds: DataFrame, *also: str) -> DataFrame:
     """id (of a signal), concept_id (lower case) of the given signals: the memory that the gate merges or links a
     signal's observation to. Signals of novel observations, and of those without a usable embedding, have none."""
     of = kinds.select(F.col("observation_id").alias("query_id"), F.col("id").alias("signal"))
     o = observations(spark, d).select(F.col("id").alias("query_id"), "embedding").join(of, "query_id", "left_semi")
     gated = gate(nearest_batch(o, memories(spark, d).select("id", "embedding"), 128, 5)).where("nearest_id is not null")
-    return gated.join(of, "query_id").select(F.col("signal").alias("id"), F.lower("nearest_id").alias("concept_id"))
+    return gated.join(of, "query_id").select(F.col("signal").alias("id"), F.lower("nearest_id").alias("concept_id"), *also)
 
 
 def beliefs(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlattice.plans import model as M
 from memlattice.streaming import pipelines
-from memlattice.tables import shared_dir, table
+from memlattice.tables import shared_dir
 
 RULES = [
     {"from": "log", "event": "done", "to": "review", "when": "status == 'done'", "template": "{{project}}: {{content}}"},
@@ -32,11 +32,20 @@ def bridge_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accesses and last access of each memory name, from versions as they arrive."""
-    return table(spark, sf_dir, "memories").where("id is not null").groupBy("id").agg(F.max("access_count").alias("access_count"), F.max("last_accessed").alias("last_accessed"))
+    """Accesses and last access of each memory, from versions as they arrive."""
+    return pipelines.greatest_seen(pipelines.events_stream(spark, f"{sf_dir}/memories.parquet"), shared_dir(spark), "id", ["access_count", "last_accessed"])
 
 
-QUERIES = {f.__name__: f for f in (stream_windows, stream_consolidation, bridge_routing, access_counters)}
+TRIGGERS = [{"event": "open", "namespace": "log", "tools": ["observe", "tag"]}, {"event": "done", "tools": ["digest"]}]
+
+
+def ingestion_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tools that entries of the operations log set off."""
+    events = M.ops(spark, sf_dir).select("id", F.col("type").alias("namespace"), F.col("status").alias("event"))
+    return pipelines.triggered(events, TRIGGERS, {"observe", "digest"}).withColumn("position", F.col("position").cast("bigint"))
+
+
+QUERIES = {f.__name__: f for f in (stream_windows, stream_consolidation, bridge_routing, access_counters, ingestion_triggers)}
 ORACLE = {
     "stream_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     "stream_consolidation": "SELECT coalesce(namespace, 'default') AS namespace, count(*) // 10 AS n_fired, count(*) % 10 AS n_pending FROM memories GROUP BY ALL",
@@ -45,5 +54,9 @@ ORACLE = {
         """, a AS (SELECT * FROM op WHERE project IS NOT NULL AND type = 'log' AND status = 'done')
 SELECT id, 'review' AS namespace, 0 AS depth, project || ': ' || coalesce(content, '{{content}}') AS message FROM a UNION ALL SELECT id, 'archive', 1, 'archived ' || project FROM a WHERE project = 'hask-bridge'""",
     ),
+    "ingestion_triggers": M.with_sql(
+        "op",
+        """SELECT id, unnest([0, 1]) AS position, unnest(['observe', 'tag']) AS tool, unnest(['due', 'skipped']) AS status FROM op WHERE type = 'log' AND status = 'open' UNION ALL SELECT id, 0, 'digest', 'due' FROM op WHERE status = 'done'""",
+    ),
     "access_counters": "SELECT id, max(access_count) AS access_count, max(last_accessed) AS last_accessed FROM memories WHERE id IS NOT NULL GROUP BY id",
 }

@@ -66,9 +66,28 @@ def connect(spark: SparkSession, address: str) -> Store:
     return Store(spark, parts.scheme, parts.path, namespace)
 
 
-def migrate(source: Store, target: Store, tables: list[str]) -> DataFrame:
-    """Copies tables that the target does not have yet (so that a run that broke off goes on), and compares every row
-    of all of them: kind, n_left, n_right, only_left, only_right."""
+def refused(source: DataFrame, target: DataFrame | None) -> str | None:
+    """Why a table may not be copied: other columns, or embeddings of another length than those that are there."""
+    if target is None:
+        return None
+    if source.schema.simpleString() != target.schema.simpleString():
+        return "other columns"
+    if "embedding" in source.columns:
+        size = lambda df: df.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        left, right = size(source), size(target)
+        if left and right and left[0].n != right[0].n:
+            return "embeddings of another length"
+    return None
+
+
+def migrate(source: Store, target: Store, tables: list[str], namespace: str | None = None) -> DataFrame:
+    """Copies tables that the target does not have yet, under another namespace if one is given, and compares every row
+    of all of them: kind, n_left, n_right, only_left, only_right. A run that broke off goes on with the first table that
+    has no complete version. A table that is there must have the same columns and length of embeddings."""
+    target = target if namespace is None else Store(target.spark, target.kind, target.path, namespace)
+    for t in tables:
+        if why := refused(source.read(t), target.read(t) if target.versions(t) else None):
+            raise ValueError(f"{t}: {why}")
     report = None
     for t in tables:
         if not target.versions(t):

@@ -35,17 +35,23 @@ def windows(stream: DataFrame, home: str, width: str = "1 day", lateness: str =
     return rows.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "epoch").alias("x")).select("window_start", "event_type", "x.*")
 
 
-def counted_batches(stream: DataFrame, home: str, threshold: int = 10) -> DataFrame:
+def counted_batches(stream: DataFrame, home: str, threshold: int = 10, fire: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """namespace, n_fired, n_pending: how often a consolidation is due when each namespace fires at `threshold` pending
     records and counts on with the rest. Each micro-batch adds its counts, pre-aggregated, to the last epoch's; an epoch
-    that is run again reads the one before it."""
+    that is run again reads the one before it. fire(namespaces, epoch), if given, is called after each batch with the
+    namespaces that became due in it (namespace, times), and must bear being called twice for an epoch."""
     path = f"{home}/counters"
 
     def add(df: DataFrame, epoch: int) -> None:
-        new = df.groupBy(F.coalesce("namespace", F.lit("default")).alias("namespace")).agg(F.count("*").alias("n"))
+        new = df.groupBy(F.coalesce("namespace", F.lit("default")).alias("namespace")).agg(F.count("*").alias("n")).withColumn("before", F.lit(0).cast("bigint"))
         if epoch > 0:
-            new = new.unionByName(df.sparkSession.read.parquet(f"{path}/{epoch - 1}"))
-        new.groupBy("namespace").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/{epoch}")
+            old = df.sparkSession.read.parquet(f"{path}/{epoch - 1}")
+            new = new.unionByName(old.select("namespace", "n", F.col("n").alias("before")))
+        new.groupBy("namespace").agg(F.sum("n").alias("n"), F.sum("before").alias("before")).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        if fire is not None:
+            counts = df.sparkSession.read.parquet(f"{path}/{epoch}")
+            times = F.floor(F.col("n") / threshold) - F.floor(F.col("before") / threshold)
+            fire(counts.select("namespace", times.alias("times")).where("times > 0"), epoch)
 
     drain(stream, home, "append", add)
     epochs = [int(p) for p in subfolders(stream.sparkSession, path)]
@@ -55,6 +61,26 @@ def counted_batches(stream: DataFrame, home: str, threshold: int = 10) -> DataFr
     return n.select("namespace", F.floor(F.col("n") / threshold).alias("n_fired"), (F.col("n") % threshold).alias("n_pending"))
 
 
+def greatest_seen(stream: DataFrame, home: str, by: str, columns: list[str]) -> DataFrame:
+    """`by` and the greatest value of each column so far, kept as streaming state; rows without `by` are left out."""
+    kept = stream.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.max(c).alias(c) for c in columns])
+    path = f"{home}/greatest"
+    drain(kept, home, "update", lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
+    if not subfolders(stream.sparkSession, path):
+        return stream.select(by, *columns).sparkSession.createDataFrame([], stream.select(by, *columns).schema)
+    rows = stream.sparkSession.read.option("basePath", path).parquet(path)
+    return rows.groupBy(by).agg(F.max_by(F.struct(*columns), "epoch").alias("x")).select(by, "x.*")
+
+
+def triggered(events: DataFrame, routes: list[dict[str, str | list[str]]], tools: set[str]) -> DataFrame:
+    """id, position, tool, status of the tools that arriving events (id, namespace, event) set off, in order. A route has
+    event, namespace (none: every one) and tools; a tool that is not known is `skipped`, others are `due`."""
+    known = [(r["event"], r.get("namespace"), list(r["tools"])) for r in routes]
+    table = events.sparkSession.createDataFrame(known, "event string, route_namespace string, tools array<string>")  # a few rules
+    hits = events.select("id", "namespace", "event").join(F.broadcast(table), "event").where("route_namespace is null or route_namespace = namespace")
+    return hits.select("id", F.posexplode("tools").alias("position", "tool")).withColumn("status", F.when(F.col("tool").isin(*tools), "due").otherwise("skipped"))
+
+
 def route(events: DataFrame, rules: list[dict[str, str]], fields: list[str], depth: int = 3) -> DataFrame:
     """id, namespace, depth, message: what the rules make of events, also of the events that they make, up to `depth`.
 
