@@ -160,14 +160,14 @@ def look_sql() -> str:
 
 _BLANK = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 8232, 8233))
 _LOOKS = f"WITH {look_sql()}, seen AS (SELECT doc_id, text, look FROM looks WHERE translate(look, {_BLANK}, '') <> '') "
-_CLASSES = _WORDS + """,
-likes AS (SELECT DISTINCT source, words_a, words_b FROM pairs WHERE likeness >= 0.7 AND words_a <> words_b
-  UNION SELECT DISTINCT source, words_b, words_a FROM pairs WHERE likeness >= 0.7 AND words_a <> words_b),
-ends AS (SELECT source, words_a AS words, count(*) AS n_links FROM likes GROUP BY ALL),
-classes AS (SELECT source, words, min(key) AS class_id, count(DISTINCT key) AS n_copies FROM kept WHERE key IS NOT NULL GROUP BY ALL)
+_CLASSES = _WORDS.split("flat AS")[0].rstrip().rstrip(",") + """,
+classes AS (SELECT source, words, md5(array_to_string(words, ' ')) AS c, len(words) AS n, min(key) AS class_id, count(DISTINCT key) AS n_copies FROM kept WHERE key IS NOT NULL GROUP BY source, words),
+flat AS (SELECT source, c, n, unnest(words) AS word FROM classes),
+likes AS (SELECT a.source, a.c AS a, b.c AS b FROM flat a JOIN flat b ON a.source = b.source AND a.word = b.word AND a.c < b.c GROUP BY a.source, a.c, b.c HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::double >= 0.7),
+ends AS (SELECT source, c, count(*) AS n_links FROM (SELECT source, a AS c FROM likes UNION ALL SELECT source, b FROM likes) GROUP BY ALL)
 """
 ORACLE = {
-    "p1_classes": _CLASSES + "SELECT DISTINCT k.source, k.key, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM kept k JOIN classes USING (source, words) LEFT JOIN ends USING (source, words)",
+    "p1_classes": _CLASSES + "SELECT DISTINCT k.source, k.key, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM kept k JOIN classes USING (source, words) LEFT JOIN ends USING (source, c)",
     "p8_found": _LOOKS + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM seen a JOIN seen b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p8_classes": _LOOKS
     + """, t AS (SELECT look, text, min(doc_id) AS text_id, count(*) AS n FROM seen GROUP BY ALL),
