@@ -3,8 +3,8 @@
 Parents are reduced to one row a key and range-partitioned, so that each range holds at most about `range_rows` keys.
 Only the lower bound of each range goes to the driver (one key a range). References find their range by these bounds;
 a range that many references fall into is probed in several salted batches, to each of which the range's parents are
-copied, so that one key with a third of all references is spread over many tasks. Within a batch the parents are a
-sorted array and all references are looked up at once by binary search.
+copied, so that one key with a third of all references is spread over many tasks. A range is stored as one row of sorted
+arrays, which is what a batch gets; all its references are looked up at once by binary search.
 """
 
 from __future__ import annotations
@@ -48,7 +48,10 @@ def orphan_references(refs: DataFrame, targets: DataFrame, tombstones: DataFrame
     parents = materialize(parents, "parents")
     n_ranges = max(1, math.ceil(parents.count() / range_rows))
     parents = materialize(parents.repartitionByRange(n_ranges, "k").withColumn("range", F.spark_partition_id()), "ranges")
-    lows = parents.groupBy("range").agg(F.min("k").alias("low")).orderBy("low").collect()  # one row a range
+    sorted_ = F.array_sort(F.collect_list(F.struct("k", "live", "deleted", F.unix_micros("first_at").alias("first"))))  # about range_rows keys, by the partitioning
+    stored = parents.groupBy("range").agg(sorted_.alias("a")).select("range", "a.k", "a.live", "a.deleted", "a.first")
+    parents = materialize(stored, "arrays")
+    lows = parents.select("range", F.col("k")[0].alias("low")).orderBy("low").collect()  # one row a range
     bounds, ranges = [r.low for r in lows], [r.range for r in lows]
 
     @F.pandas_udf("int")
@@ -68,17 +71,17 @@ def orphan_references(refs: DataFrame, targets: DataFrame, tombstones: DataFrame
     copies = parents.join(F.broadcast(batches), "range").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).drop("batches")
 
     def probe(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("k")
-        keys, k = held.k.to_numpy(dtype=object), asked.k.to_numpy(dtype=object)
+        asked = asked.sort_values("k", kind="stable", ignore_index=True)
+        k = asked.k.to_numpy(dtype=object)
+        keys, live, deleted, first = (np.asarray(held[c].iloc[0]) if len(held) else np.empty(0) for c in ("k", "live", "deleted", "first"))
         at = np.searchsorted(keys, k) if len(keys) else np.zeros(len(k), int)
         known = np.zeros(len(k), bool)
         inside = at < len(keys)
         known[inside] = keys[at[inside]] == k[inside]
-        at = np.where(known, at, 0)
-        take = lambda c, none: np.where(known, held[c].to_numpy()[at], none) if len(keys) else np.full(len(k), none)
-        live, deleted = take("live", False).astype(bool), take("deleted", False).astype(bool)
-        first = pd.to_datetime(pd.Series(take("first_at", np.datetime64("NaT")) if len(keys) else [pd.NaT] * len(k)))
-        late = live & (first.to_numpy() > pd.to_datetime(asked.seen_at).to_numpy())
+        of = lambda a, none: np.where(known, a[np.where(known, at, 0)], none) if len(a) else np.full(len(k), none)
+        live, deleted = of(live, False).astype(bool), of(deleted, False).astype(bool)
+        first = pd.to_datetime(pd.Series(of(first, None), dtype=object).astype("Int64"), unit="us")
+        late = live & (first > pd.to_datetime(asked.seen_at).astype("datetime64[us]")).fillna(False).to_numpy(dtype=bool)
         asked["reason"] = np.select([~live & deleted, ~live, late], ["deleted", "missing", "late"], "")
         return asked.loc[asked.reason != "", ["owner_id", "ref_field", "ref_value", "seen_at", "reason"]]
 
