@@ -722,3 +722,66 @@ def wander_steps(spark, d):
     s = M.memories(spark, d).select(F.lower("id").alias("target_id"), S.epistemic(F.col("access_count"), F.col("confidence"), F.col("category"), S.days_since("last_accessed")).alias("s"))
     steps = e.join(s, "target_id").select("source_id", "target_id", (0.4 * F.col("weight") + 0.6 * F.col("s")).alias("pull"))
     return R.top_k(steps, 10, ["source_id"], F.desc(F.round("pull", 9)), "target_id")
+
+
+# Consolidation as a whole
+
+_REFINED = _CLUSTER + f""", re AS (SELECT * FROM mem WHERE updated_at >= {Q.NOW} - INTERVAL 7 DAY ORDER BY updated_at DESC, id LIMIT 100),
+ev AS (SELECT memory_id AS id, 0 AS kind, obs.created_at AS since, obs.id AS k, content AS e FROM cl JOIN obs USING (id) WHERE memory_id IS NOT NULL
+  UNION ALL SELECT re.id, 1, x.created_at, x.id, m.definition FROM re JOIN (SELECT * FROM edg WHERE relation = 'related' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY created_at, id) <= 10) x ON x.source_id = lower(re.id) JOIN mem m ON lower(m.id) = x.target_id WHERE m.definition IS NOT NULL),
+el AS (SELECT id, string_agg(e, ' ' ORDER BY kind, since, k) AS e FROM (SELECT * FROM ev WHERE e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY kind, since, k) <= 10) GROUP BY id),
+nd AS (SELECT re.id, definition AS old_definition, trim(concat_ws(' ', definition, e), ' ' || chr(9) || chr(13) || chr(10)) AS t FROM re JOIN el USING (id)),
+nh AS (SELECT *, {Q._HITS} AS hits FROM nd)
+SELECT id, old_definition, t AS new_definition FROM nh WHERE t <> trim(coalesce(old_definition, '')) AND length(t) BETWEEN 20 AND 2000 AND regexp_matches(t, '[.!?]["'')\\]]?$') AND NOT regexp_matches(t, '^(#{{1,6}}\\s|\\*\\*)')
+  AND NOT ({Q._META}) AND NOT regexp_matches(t, '\\bConcept\\s+[A-Z]\\b') AND hits < 2"""
+
+
+def refined(spark, d, rewrite=hooks.joined_evidence) -> DataFrame:
+    """id, old_definition, new_definition of memories of the last seven days (the newest hundred) whose definition is
+    rewritten from at most ten pieces of evidence, observations that belong to them first; rewritings of poor quality are
+    left out."""
+    m = M.memories(spark, d)
+    recent = m.where(F.col("updated_at") >= Q.before(7)).orderBy(F.desc("updated_at"), "id").limit(100).select("id", F.lower("id").alias("source_id"), "definition")
+    recent = materialize(recent, "recent")
+    own = clustered(spark, d).where("memory_id is not null").join(M.observations(spark, d).select("id", "content", "created_at"), "id")
+    own = own.select(F.col("memory_id").alias("id"), F.lit(0).alias("kind"), "created_at", F.col("id").alias("k"), F.col("content").alias("e"))
+    e = M.edges(spark, d).where("relation = 'related'").withColumnRenamed("id", "k").join(F.broadcast(recent.select("id", "source_id")), "source_id")  # 100 rows
+    e = R.top_k(e, 10, ["source_id"], "created_at", "k").join(m.select(F.lower("id").alias("target_id"), F.col("definition").alias("e")), "target_id")
+    both = own.unionByName(e.select("id", F.lit(1).alias("kind"), "created_at", "k", "e")).where("e is not null")
+    both = R.top_k(both, 10, ["id"], "kind", "created_at", "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("kind", "created_at", "k", "e"))).alias("l"))  # ten at most
+    text = F.array_join(F.transform("l", lambda x: x["e"]), " ")
+    new = F.btrim(rewrite(F.col("definition"), text), F.lit(" \t\r\n"))
+    made = recent.join(both, "id").select("id", F.col("definition").alias("old_definition"), new.alias("new_definition"), text.alias("evidence"))
+    bad = T.assess_thought("new_definition", F.concat_ws(" ", "old_definition", "evidence"))
+    return made.where((F.col("new_definition") != F.btrim(T.text_of("old_definition"))) & (F.size(bad) == 0)).select("id", "old_definition", "new_definition")
+
+
+@query("mem obs edg", _REFINED)
+def dream_refine(spark, d):
+    return refined(spark, d)
+
+
+@query()
+def dream_phase_a(spark, d):
+    """What the first half of a consolidation does: observations that find a memory, those that do not, definitions
+    rewritten, memories made, and observations that are no statements and are only marked. All its steps see the same
+    clusters."""
+    c = clustered(spark, d).join(M.observations(spark, d).select("id", "content_type"), "id")
+    mark = F.col("memory_id").isNull() & F.coalesce(F.col("content_type").isin("interrogative", "speculative"), F.lit(False))
+    a = c.agg(F.count("memory_id").alias("n_clustered"), (F.count("*") - F.count("memory_id")).alias("n_unclustered"), F.count_if(mark).alias("n_marked"))
+    return a.crossJoin(dream_refine(spark, d).agg(F.count("*").alias("n_refined"))).crossJoin(dream_create(spark, d).agg(F.count("*").alias("n_created")))  # one row each
+
+
+@query()
+def dream_phase_b(spark, d):
+    """What the second half does: pairs of memories to be linked, memories scored anew, and recent memories that are new."""
+    counted = lambda f, name: f(spark, d).agg(F.count("*").alias(name))
+    new = novelty_gate(spark, d).agg(F.count_if("is_new").alias("n_new"))
+    return counted(edge_candidates, "n_candidates").crossJoin(counted(dream_score, "n_scored")).crossJoin(new)  # one row each
+
+
+_count = lambda name, what="count(*)": f"(SELECT {what} FROM ({ORACLE[name]}))"
+ORACLE["dream_phase_a"] = f"""SELECT {_count('dream_cluster', 'count(memory_id)')} AS n_clustered, {_count('dream_cluster', 'count(*) - count(memory_id)')} AS n_unclustered,
+  (SELECT count(*) FROM ({ORACLE['dream_cluster']}) c JOIN (SELECT DISTINCT id, content_type FROM observations) o USING (id) WHERE memory_id IS NULL AND content_type IN ('interrogative', 'speculative')) AS n_marked,
+  {_count('dream_refine')} AS n_refined, {_count('dream_create')} AS n_created"""
+ORACLE["dream_phase_b"] = f"SELECT {_count('edge_candidates')} AS n_candidates, {_count('dream_score')} AS n_scored, {_count('novelty_gate', 'count(*) FILTER (is_new)')} AS n_new"

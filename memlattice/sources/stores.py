@@ -70,7 +70,7 @@ def refused(source: DataFrame, target: DataFrame | None) -> str | None:
     """Why a table may not be copied: other columns, or embeddings of another length than those that are there."""
     if target is None:
         return None
-    if source.schema.simpleString() != target.schema.simpleString():
+    if set(source.columns) != set(target.columns):
         return "other columns"
     if "embedding" in source.columns:
         size = lambda df: df.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()

