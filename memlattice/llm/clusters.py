@@ -307,20 +307,30 @@ def clusters(df: DataFrame, dim: int, thresholds: DataFrame, default_threshold:
         sizes = leads.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1")
         return known.join(leads.join(sizes, "lead"), "rep").withColumn("bucket", F.pmod(F.xxhash64("lead"), F.lit(max(1, n // 1024))))
 
-    parts, buckets = [], ["bucket"]
-    while True:  # the smallest id of a group of the second round on is similar to all of it: each round ends some
+    def checked(leads: DataFrame) -> DataFrame:
+        """lead, rep of leads with several rows, and whether the row is similar to all of them."""
         several = grouped(leads)
-        agreed = blockwise(several, several, buckets, "rep", agree, "lead string, rep string, n bigint, like bigint", BLOCK_ROWS)
+        agreed = blockwise(several, several, ["bucket"], "rep", agree, "lead string, rep string, n bigint, like bigint", BLOCK_ROWS)
         agreed = agreed.groupBy("lead", "rep").agg(F.max("n").alias("n"), F.sum("like").alias("like"))
-        agreed = materialize(agreed.select("lead", "rep", (F.col("like") >= F.col("n")).alias("all")), "agreed")
+        return materialize(agreed.select("lead", "rep", (F.col("like") >= F.col("n")).alias("all")), "agreed")
+
+    def named(agreed: DataFrame) -> DataFrame:
+        """The rows that are similar to all of their lead's, under the smallest of them."""
         kept = agreed.where("all")
-        parts.append(kept.join(kept.groupBy("lead").agg(F.min("rep").alias("name")), "lead").select("rep", F.col("name").alias("lead")))
-        left = agreed.where(~F.col("all")).select("rep", "lead")
-        if left.isEmpty():
-            break
-        several = grouped(left)
-        leads = blockwise(several, several, buckets, "rep", again, "rep string, lead string", BLOCK_ROWS).groupBy("rep").agg(F.min("lead").alias("lead"))
+        return kept.join(kept.groupBy("lead").agg(F.min("rep").alias("name")), "lead").select("rep", F.col("name").alias("lead"))
+
+    agreed = checked(leads)
+    parts = [named(agreed)]
+    pending = agreed.where(~F.col("all")).select("rep", "lead")
+    while not pending.isEmpty():  # the smallest id of what is left of a group is done with each round
+        several = grouped(pending)
+        leads = blockwise(several, several, ["bucket"], "rep", again, "rep string, lead string", BLOCK_ROWS).groupBy("rep").agg(F.min("lead").alias("lead"))
         leads = materialize(leads, "led")
+        agreed = checked(leads)
+        parts.append(named(agreed))
+        single = leads.groupBy("lead").agg(F.count("*").alias("n"), F.max("rep").alias("rep")).where("n = 1 and rep = lead").select("rep")
+        done = agreed.where("all").select("rep").unionByName(single)
+        pending = materialize(several.select("rep", "lead").join(done, "rep", "left_anti"), "pending")
     led = parts[0]
     for p in parts[1:]:
         led = led.unionByName(p)

@@ -90,3 +90,22 @@ def test_a_copy_with_a_null_key_takes_no_links_away(spark):
     rows = [("a", None, text, ""), ("a", "k1", text, ""), ("a", "k2", text + " eleven", "")]
     links, members = N.near_duplicates(spark.createDataFrame(rows, KIND).coalesce(1))
     assert {tuple(r) for r in N.expanded(links, members).collect()} == {("a", "k1", "k2")}
+
+
+def test_rows_of_hot_classes_are_paired_in_pieces(spark):
+    members = spark.createDataFrame([("a", f"x{i:02}", 1) for i in range(25)] + [("a", f"y{i}", 2) for i in range(7)] + [("a", "z", 3)], "source string, key string, class bigint")
+    links = spark.createDataFrame([(1, 2, 0.8)], "class_a bigint, class_b bigint, likeness double")
+    keys = {r.key: r["class"] for r in members.collect()}
+    want = {("a", *p) for p in combinations(sorted(keys), 2) if {keys[p[0]], keys[p[1]]} <= {1, 2}}
+    for most in (3, 1000):
+        rows = [tuple(r) for r in N.expanded(links, members, most).collect()]
+        assert set(rows) == want and len(rows) == len(want)
+
+
+def test_a_third_of_all_records_in_one_class_and_one_bucket(spark):
+    rows = far_from_the_limit(corpus(7, 30))
+    text = "one two three four five six seven eight nine ten"
+    rows += [("a", f"hot{i}", text if i % 2 else text + " !", "") for i in range(len(rows) // 2)] + [("a", "near", text + " eleven", "")]
+    got, _, members = found(spark, rows)
+    assert got == pairs_by_force(rows)
+    assert members.groupBy("class").count().agg({"count": "max"}).first()[0] * 3 >= len(rows)

@@ -129,3 +129,22 @@ def test_fullest_equals_brute_force(lengths, room):
     for n in lengths:
         sums |= {s + n for s in sums if s + n <= room}
     assert sum(n * c for n, c in used.items()) == max(sums) and all(c <= left[n] for n, c in used.items())
+
+
+def test_packing_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_LENGTHS", 8)
+    draw = random.Random(6)
+    sizes = [(i, draw.randrange(1, 60)) for i in range(400)]
+    got = P.pack(spark.createDataFrame(sizes, "id bigint, size int"), {"t": 64}).collect()
+    used = {}
+    for r in got:
+        used[r.container] = used.get(r.container, 0) + r.size
+    assert sorted((r.id, r.size) for r in got) == sizes and max(used.values()) <= 64 and set(used) == set(range(len(used)))
+    assert len(used) <= first_fit_decreasing([s for _, s in sizes], 64)
+
+
+def test_members_of_looks(spark):
+    rows = [(i, "copy text") for i in range(40)] + [(90, "соpy text"), (91, "ꓚopy text"), (92, None), (93, "other")]
+    prints = S.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    got = {r.id: (r.class_id, r.text_id, r.n_texts, r.n_rows) for r in S.look_members(prints).collect()}
+    assert got == {i: (0, 0, 2, 41) for i in range(40)} | {90: (0, 90, 2, 41)}

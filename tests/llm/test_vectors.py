@@ -112,3 +112,17 @@ def test_mixture_finds_the_number_of_components(spark):
     mixture, scores = C.fit_mixture(df, len(m), 3, [1, 3, 8], steps=12)
     assert min(scores, key=scores.get) == 3 and len(mixture.weight) == 3
     assert np.allclose(sorted(mixture.weight), [1 / 3] * 3, atol=0.02)
+
+
+def test_what_leaves_a_chain_is_grouped_again(spark):
+    arc = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))] + [0.0] * (DIM - 2)
+    rows = [(f"c{i}", "n", arc(30 * i), T0, "", "") for i in range(6)] + [("far", "n", [0.0] * (DIM - 1) + [1.0], T0, "", "")]
+    options = spark.createDataFrame([("n", float(np.cos(np.radians(35))))], "namespace string, threshold double")
+    got = {r.id: r.cluster_id for r in C.clusters(one_per_id(frame(spark, rows), DIM, "namespace"), DIM, options).collect()}
+    assert got == {"c0": "c0", "c1": "c0", "c2": "c2", "c3": "c2", "c4": "c4", "c5": "c4"}
+
+
+def test_leads_over_many_steps(spark):
+    chain = [(f"r{i + 1:02}", f"r{i:02}") for i in range(20)] + [("z", "r20"), ("z", "q")]
+    edges = spark.createDataFrame(chain + [(r, r) for r in {x for e in chain for x in e}], "rep string, lead string")
+    assert {r.lead for r in C.smallest_reached(edges).collect()} == {"q"}
