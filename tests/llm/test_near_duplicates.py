@@ -105,7 +105,7 @@ def test_rows_of_hot_classes_are_paired_in_pieces(spark):
 def test_a_third_of_all_records_in_one_class_and_one_bucket(spark):
     rows = far_from_the_limit(corpus(7, 30))
     text = "one two three four five six seven eight nine ten"
-    rows += [("a", f"hot{i}", text if i % 2 else text + " !", "") for i in range(len(rows) // 2)] + [("a", "near", text + " eleven", "")]
+    rows += [("a", f"hot{i}", text if i % 2 else text + " !", "") for i in range(len(rows) // 2 + 2)] + [("a", "near", text + " eleven", "")]
     got, _, members = found(spark, rows)
     assert got == pairs_by_force(rows)
     assert members.groupBy("class").count().agg({"count": "max"}).first()[0] * 3 >= len(rows)
