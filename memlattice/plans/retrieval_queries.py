@@ -498,21 +498,35 @@ def suggest_links(spark, d, embed: hooks.Embed = hooks.hashed_embedding, least:
     return first.join(m.select("id", "name"), "id").select("doc_id", "phrase", "id", "name", S.rounded(F.col("score"), 2).alias("score"))
 
 
+_RELATION = "CASE WHEN kind = 'project' THEN 'supports' WHEN kind = 'research' THEN 'extends' WHEN kind IS NULL THEN 'related' ELSE kind END"
+
+
+def thread_proposals(spark, d) -> DataFrame:
+    """source_id, target_id, relation: an edge that each thread proposes from its first to its third memory."""
+    at = lambda i: F.lower(F.btrim(F.get("related_memory_ids", F.lit(i))))
+    relation = F.when(F.col("kind") == "project", "supports").when(F.col("kind") == "research", "extends").otherwise(F.coalesce("kind", F.lit("related")))
+    return M.threads(spark, d).where(F.size("related_memory_ids") >= 3).select(at(0).alias("source_id"), at(2).alias("target_id"), relation.alias("relation"))
+
+
 @query(
-    "mem obs edg",
-    """, p AS (SELECT lower(source_id) AS a, lower(target_id) AS b, relation FROM (SELECT target_id AS source_id, source_id AS target_id, relation FROM edg UNION ALL SELECT source_id, source_id, relation FROM edg)),
-v AS (SELECT DISTINCT a, b, relation FROM p WHERE a <> b AND a IN (SELECT lower(id) FROM mem) AND b IN (SELECT lower(id) FROM mem))
-SELECT a AS source_id, b AS target_id, relation FROM v WHERE NOT EXISTS (SELECT 1 FROM edg e WHERE e.source_id = v.a AND e.target_id = v.b AND e.relation = v.relation)""",
+    "thr mem obs edg",
+    f""", p AS (SELECT lower(trim(related_memory_ids[1])) AS a, lower(trim(related_memory_ids[3])) AS b, {_RELATION} AS relation FROM thr WHERE len(related_memory_ids) >= 3
+  UNION SELECT target_id, source_id, relation FROM edg UNION SELECT source_id, source_id, relation FROM edg),
+v AS (SELECT * FROM p WHERE a <> b AND a IN (SELECT lower(id) FROM mem) AND b IN (SELECT lower(id) FROM mem) AND relation IN ('extends','refines','contradicts','tensions-with','questions','supports','exemplifies','caused','related'))
+SELECT a AS source_id, b AS target_id, relation FROM v WHERE NOT EXISTS (SELECT 1 FROM edg e WHERE (e.source_id = v.a AND e.target_id = v.b) OR (e.source_id = v.b AND e.target_id = v.a))""",
 )
 def edge_proposals_valid(spark, d):
-    """Of proposed edges (here the reverse of each edge, and loops) those that are valid and not there yet."""
+    """Of proposed edges (threads' first to third memory, the reverse of each edge, and loops) those of a known relation
+    between two memories that no edge links either way."""
     e = M.edges(spark, d).select("source_id", "target_id", "relation")
-    proposed = e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation").unionByName(e.withColumn("target_id", F.col("source_id")))
+    reverse = e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation")
+    proposed = thread_proposals(spark, d).unionByName(reverse).unionByName(e.withColumn("target_id", F.col("source_id")))
     known = M.memories(spark, d).select(F.lower("id").alias("k"))
-    valid = proposed.where("source_id <> target_id").distinct()
+    valid = proposed.where("source_id <> target_id").where(F.col("relation").isin(*M.RELATIONS)).distinct()
     for end in ("source_id", "target_id"):
         valid = valid.join(known.withColumnRenamed("k", end), end, "left_semi")
-    return valid.join(e, ["source_id", "target_id", "relation"], "left_anti").select("source_id", "target_id", "relation")
+    linked = e.unionByName(reverse).select("source_id", "target_id")
+    return valid.join(linked, ["source_id", "target_id"], "left_anti").select("source_id", "target_id", "relation")
 
 
 @query("mem obs edg", """, r AS (SELECT id FROM mem ORDER BY updated_at DESC, id LIMIT 100)
@@ -609,14 +623,12 @@ def believe(spark, d):
     return updates.believe(m, revisions)[1].select("concept_id", "old_definition", "new_definition")
 
 
-@query("mem obs thr edg", """, p AS (SELECT DISTINCT lower(trim(related_memory_ids[1])) AS source_id, lower(trim(related_memory_ids[3])) AS target_id, CASE WHEN kind = 'project' THEN 'supports' WHEN kind = 'research' THEN 'extends' WHEN kind IS NULL THEN 'related' ELSE kind END AS relation FROM thr WHERE len(related_memory_ids) >= 3)
+@query("mem obs thr edg", """, p AS (SELECT DISTINCT lower(trim(related_memory_ids[1])) AS source_id, lower(trim(related_memory_ids[3])) AS target_id, """ + _RELATION + """ AS relation FROM thr WHERE len(related_memory_ids) >= 3)
 SELECT source_id, target_id, relation, CASE WHEN source_id IS NULL OR target_id IS NULL THEN 'no ids' WHEN relation NOT IN ('extends','refines','contradicts','tensions-with','questions','supports','exemplifies','caused','related') THEN 'no such relation'
   WHEN source_id NOT IN (SELECT lower(id) FROM mem) THEN 'no such source' WHEN target_id NOT IN (SELECT lower(id) FROM mem) THEN 'no such target' WHEN EXISTS (SELECT 1 FROM edg WHERE edg.source_id = p.source_id AND edg.target_id = p.target_id AND edg.relation = p.relation) THEN 'there already' END AS error FROM p""")
 def link(spark, d):
     """Proposed edges with what is wrong with each; a thread proposes one from its first to its third memory."""
-    at = lambda i: F.lower(F.btrim(F.get("related_memory_ids", F.lit(i))))
-    relation = F.when(F.col("kind") == "project", "supports").when(F.col("kind") == "research", "extends").otherwise(F.col("kind"))
-    p = M.threads(spark, d).where(F.size("related_memory_ids") >= 3).select(at(0).alias("source_id"), at(2).alias("target_id"), relation.alias("relation"), F.lit(None).cast("double").alias("weight"))
+    p = thread_proposals(spark, d).withColumn("weight", F.lit(None).cast("double"))
     return updates.linked(M.edges(spark, d), p, M.memories(spark, d).select(F.lower("id").alias("id")), M.RELATIONS).drop("weight")
 
 
