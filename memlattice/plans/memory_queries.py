@@ -731,6 +731,18 @@ def federated_query(spark, d):
     return top_k(r, 10, ["query_id"], F.desc("score"), "result_id").drop("result_id")
 
 
+ORACLE["digest_observe"] = f"""SELECT c.doc_id, chunk, length(content) AS n_chars, CASE WHEN chunk = 0 THEN salience ELSE greatest(1, salience - 2) END AS salience
+FROM ({ORACLE['digest_chunks']}) c JOIN ({ORACLE['detect_salience']}) s ON s.doc_id = c.doc_id WHERE content <> ''"""
+
+
+@query()
+def digest_observe(spark, d):
+    """The observations that a digest of each document makes: its head at the document's salience, the further chunks at
+    two less (1 at least). Empty texts make none."""
+    c = digest_chunks(spark, d).where("content <> ''").join(detect_salience(spark, d), "doc_id")
+    return c.select("doc_id", "chunk", F.length("content").cast("bigint").alias("n_chars"), F.when(F.col("chunk") == 0, F.col("salience")).otherwise(F.greatest(F.lit(1.0), F.col("salience") - 2)).alias("salience"))
+
+
 _PRUNED = ORACLE["prune_candidates"].rsplit("SELECT id, len(list_filter", 1)[0]
 ORACLE["health_prune"] = _PRUNED + "SELECT mem.id, coalesce(faded, false) OR len(list_filter(p.r, lambda x: x IS NOT NULL)) >= 3 AS faded FROM mem JOIN p USING (id)"
 

@@ -773,6 +773,44 @@ def dream_refine(spark, d):
     return refined(spark, d)
 
 
+_GOOD = f"length(t) BETWEEN 20 AND 2000 AND regexp_matches(t, '[.!?][\"'')\\]]?$') AND NOT regexp_matches(t, '^(#{{1,6}}\\s|\\*\\*)') AND NOT ({Q._META}) AND NOT regexp_matches(t, '\\bConcept\\s+[A-Z]\\b') AND ({Q._HITS}) < 2"
+
+
+@query(
+    "mem obs",
+    f""", r AS (SELECT * FROM mem ORDER BY updated_at DESC, id LIMIT 60),
+pk AS (SELECT attempt, category, id, definition FROM r, (SELECT unnest(range(5)) AS attempt) WHERE category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY attempt, category ORDER BY md5(attempt || ':' || id), id) = 1),
+fr AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY attempt ORDER BY md5(attempt || ':' || category), category) <= 4),
+tx AS (SELECT attempt, string_agg(id, ' ' ORDER BY id) AS ids, trim(coalesce(string_agg(definition, ' ' ORDER BY id), ''), ' ' || chr(9) || chr(13) || chr(10)) AS t FROM fr GROUP BY attempt HAVING count(*) >= 3),
+ux AS (SELECT attempt, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM fr JOIN vm USING (id)),
+mx AS (SELECT attempt, list(x ORDER BY i) AS v FROM (SELECT attempt, i, avg(u[i]) AS x FROM ux, range(1, 129) t(i) GROUP BY ALL) GROUP BY attempt),
+bx AS (SELECT attempt, max(list_cosine_similarity(mx.v, vm.v)) AS best FROM mx, vm WHERE NOT coalesce(faded, false) GROUP BY attempt)
+SELECT attempt, ids, coalesce(best, 0) AS nearest, {_GOOD} AND coalesce(best, 0) < 0.88 AS accepted FROM tx LEFT JOIN bx USING (attempt)""",
+)
+def dream_abstract(spark, d, attempts: int = 5, novel: float = 0.88, abstract=None):
+    """Attempts to abstract from memories of different categories: of the sixty newest one of each of up to four
+    categories, drawn by a hash; accepted if the text is of good quality and no memory is as near as `novel`. The text
+    is the model's of their joined definitions (here these themselves), its vector the mean direction of theirs."""
+    m = M.memories(spark, d)
+    recent = m.orderBy(F.desc("updated_at"), "id").limit(60).where("category is not null").select("id", "category", "definition", "embedding")
+    tried = recent.crossJoin(spark.range(attempts).select(F.col("id").alias("attempt")))  # 60 x attempts rows
+    by = lambda c: F.md5(F.concat_ws(":", F.col("attempt"), F.col(c)))
+    one = R.top_k(tried, 1, ["attempt", "category"], by("id"), "id")
+    four = materialize(R.top_k(one, 4, ["attempt"], by("category"), "category"), "sampled")
+    parts = F.array_sort(F.collect_list(F.struct("id", "definition")))  # four at most
+    text = four.groupBy("attempt").agg(parts.alias("p")).where(F.size("p") >= 3)
+    joined = F.btrim(F.array_join(F.transform("p", lambda x: x["definition"]), " "), F.lit(" \t\r\n"))
+    text = text.select("attempt", F.array_join(F.transform("p", lambda x: x["id"]), " ").alias("ids"), joined.alias("evidence"), (abstract(joined) if abstract else joined).alias("t"))
+    unit = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(S.dot("embedding", "embedding")))
+    mean = four.where(usable("embedding", DIM)).select("attempt", F.posexplode(unit).alias("i", "x")).groupBy("attempt", "i").agg(F.avg("x").alias("x"))
+    mean = mean.groupBy("attempt").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda q: q["x"]).alias("query"))  # DIM numbers
+    v = memory_vectors(spark, d).where(~F.coalesce("faded", F.lit(False))).select("embedding")
+    near = v.crossJoin(F.broadcast(materialize(mean, "means"))).groupBy("attempt").agg(F.max(S.cosine("embedding", "query")).alias("best"))  # `attempts` rows
+    good = F.size(T.assess_thought("t", F.col("evidence"), least_grounding=0.1)) == 0
+    nearest = F.coalesce("best", F.lit(0.0))
+    return text.join(near, "attempt", "left").select("attempt", "ids", nearest.alias("nearest"), (good & (nearest < novel)).alias("accepted"))
+
+
 @query()
 def dream_phase_a(spark, d):
     """What the first half of a consolidation does: observations that find a memory, those that do not, definitions
