@@ -75,22 +75,33 @@ class Deliveries(StatefulProcessor):
                 pages.setdefault(r[0], []).append(r[1:])
             out: list[tuple] = []
             for page, new in pages.items():
-                columns = self.held.getValue((page,))
-                held = {(h1, h2): record for h1, h2, *record in zip(*columns, strict=True)} if columns else {}
-                before = {event: held.get(event) for event in dict.fromkeys(r[:2] for r in new)}
-                for h1, h2, *record in new:
-                    if (old := held.get((h1, h2))) is None or order(record) > order(old):
-                        held[h1, h2] = record
-                for event, old in before.items():
-                    out += changes(old, held[event])
-                self.held.updateValue((page,), tuple(map(list, zip(*((*event, *record) for event, record in held.items()), strict=True))))
+                held = self.held.getValue((page,))
+                columns = [list(c) for c in held] if held else [[] for _ in range(7)]
+                place = {event: i for i, event in enumerate(zip(columns[0], columns[1], strict=True))}
+                before: dict[int, tuple | None] = {}
+                for r in new:
+                    at = place.get(r[:2])
+                    if at is None:
+                        place[r[:2]] = at = len(columns[0])
+                        before[at] = None
+                        for c, x in zip(columns, r, strict=True):
+                            c.append(x)
+                        continue
+                    old = tuple(c[at] for c in columns[2:])
+                    before.setdefault(at, old)
+                    if order(r[2:]) > order(old):
+                        for c, x in zip(columns[2:], r[2:], strict=True):
+                            c[at] = x
+                for at, old in before.items():
+                    out += changes(old, tuple(c[at] for c in columns[2:]))
+                self.held.updateValue((page,), tuple(columns))
             yield pd.DataFrame(out, columns=["entity", "type", "n", "n_flagged", "at_ms", "lost_ms"]).astype({"at_ms": "Int64", "lost_ms": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def changes(old: list | None, new: list) -> list[tuple]:
+def changes(old: tuple | None, new: tuple) -> list[tuple]:
     """entity, type, n, n_flagged, at_ms, lost_ms of what one event's new record changes."""
     _, entity, kind, flag, at = new
     if old is None:
