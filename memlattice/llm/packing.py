@@ -9,7 +9,8 @@ often as its lengths last, which is what repeating the search would give.
 A target's lengths are dealt to shards by their hash, some hundred to a shard, and each shard is searched by a task of
 its own; of what it finds only the containers without any slack are kept. What is left of all shards, a small rest, is
 searched once more together. Spark then numbers the items of each length (in salted parts, so that no length is one
-task's) and joins them with the slots of the combinations.
+task's) and joins them with the slots of the combinations. Both the counts of the salted parts and the slots in blocks
+grow with the items, and their files say too little of their size in memory; so neither is ever sent to all executors.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def searched(lengths: DataFrame, capacities: dict[str, int]) -> DataFrame:
     used = F.max(F.col("container") + F.floor((F.col("rank_to") - F.col("rank_from")) / F.col("each"))).alias("used")
     before = Window.partitionBy("target").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     starts = both.groupBy("target", "shard").agg(used).select("target", "shard", F.coalesce(F.sum("used").over(before), F.lit(0)).alias("start"))
-    return both.join(starts, ["target", "shard"]).select("target", "size_", "rank_from", "rank_to", (F.col("container") + F.col("start")).alias("container"), "each")
+    return both.join(F.broadcast(starts), ["target", "shard"]).select("target", "size_", "rank_from", "rank_to", (F.col("container") + F.col("start")).alias("container"), "each")
 
 
 def pack(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
@@ -139,11 +140,11 @@ def pack(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
     in_salt = Window.partitionBy("target", "size_", "salt").orderBy("id", "piece")
     ranked = (
         pieces.withColumn("nth", F.row_number().over(in_salt) - 1)
-        .join(starts, ["target", "size_", "salt"])
+        .join(starts.hint("merge"), ["target", "size_", "salt"])  # partitioned and sorted by the window already
         .withColumn("rank", F.col("start") + F.col("nth"))
         .withColumn("block", F.floor(F.col("rank") / BLOCK))
     )
-    placed = ranked.join(slots, ["target", "size_", "block"]).where("rank >= rank_from and rank < rank_to")
+    placed = ranked.join(slots.hint("merge"), ["target", "size_", "block"]).where("rank >= rank_from and rank < rank_to")
     placed = placed.select("target", (F.col("container") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("each"))).alias("container"), "id", "piece", "offset", F.col("size_").alias("size"))
     empty = whole.where("size = 0").select("id", "size", targets).select("t.target", F.lit(None).cast("bigint").alias("container"), "id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("offset"), "size")
     return placed.unionByName(empty)

@@ -148,3 +148,17 @@ def test_members_of_looks(spark):
     prints = S.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
     got = {r.id: (r.class_id, r.text_id, r.n_texts, r.n_rows) for r in S.look_members(prints).collect()}
     assert got == {i: (0, 0, 2, 41) for i in range(40)} | {90: (0, 90, 2, 41)}
+
+
+def test_packing_sends_no_table_that_grows(spark):
+    draw = random.Random(5)
+    sizes = [(i, 7 if i % 2 else draw.randrange(1, 200)) for i in range(6000)]
+    packed = P.pack(spark.createDataFrame(sizes, "id bigint, size int"), {"t": 64})
+    got = packed.collect()
+    held, containers = dict.fromkeys(range(6000), 0), {}
+    for r in got:
+        held[r.id] += r.size
+        containers[r.container] = containers.get(r.container, 0) + r.size
+    assert held == dict(sizes) and max(containers.values()) <= 64
+    plan = packed._jdf.queryExecution().executedPlan().toString()  # the one that ran
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
