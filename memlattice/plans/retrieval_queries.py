@@ -275,8 +275,9 @@ def gnn_rerank(spark, d):
     n = R.nearest(memory_vectors(spark, d), q, 10).select("id", F.lower("id").alias("source_id"), "score", "embedding")
     e = M.edges(spark, d).join(F.broadcast(n.select("source_id")), "source_id", "left_semi")  # 10 rows
     e = R.top_k(e, 5, ["source_id"], "created_at", "id").select("source_id", "target_id")
-    v = memory_vectors(spark, d).select(F.lower("id").alias("target_id"), F.posexplode("embedding").alias("i", "x"))
-    mean = e.join(v, "target_id").groupBy("source_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    v = memory_vectors(spark, d).select(F.lower("id").alias("target_id"), F.col("embedding").alias("v"))
+    near = v.join(F.broadcast(e), "target_id").select("source_id", F.posexplode("v").alias("i", "x"))  # 50 rows; only their vectors become rows
+    mean = near.groupBy("source_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = mean.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     both = n.join(mean, "source_id", "left").crossJoin(F.broadcast(q.select("query")))  # one row
     mixed = F.zip_with("embedding", "mean", lambda a, b: 0.6 * a.cast("double") + 0.4 * b)

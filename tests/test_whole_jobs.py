@@ -156,3 +156,31 @@ def test_open_contradiction_signals_count(spark, tables):
     want = {"M0": 2, "M1": 3, "M2": 3, "M3": 3}
     assert {r.id: r.rating for r in memory_queries.dream_rating(spark, d).collect()} == want
     assert {r.id: r.rating for r in retrieval_queries.dream_score(spark, d).collect()} == want
+
+
+def rows_sent(plan):
+    """Rows of each table that the plan, which has run, sent to all executors."""
+    name = plan.nodeName()
+    if name.startswith("BroadcastExchange"):
+        yield plan.metrics().apply("numOutputRows").value()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    for p in inner:
+        yield from rows_sent(p)
+
+
+def test_rerank_mixes_five_neighbours_and_sends_no_vector_as_rows(spark, tables):
+    v = vectors(60, 8)
+    memories = [{"id": f"M{i:02}", "updated_at": DAY, "embedding": v[i].tolist()} for i in range(60)]
+    near = np.argsort(-cosines(v[:1], v)[0])[:10]
+    hub, other, links = int(near[0]), int(near[3]), {}
+    links[hub] = [j for j in range(60) if j not in near][:7]  # only the first five count
+    links[other] = [int(near[5]), hub]
+    threads = [{"id": f"t{i}-{k}", "related_memory_ids": [f"m{i:02}", f"M{j:02} "], "created_at": DAY + dt.timedelta(hours=k), "updated_at": DAY} for i, js in links.items() for k, j in enumerate(js)]
+    far = [i for i in range(60) if i not in near]
+    threads += [{"id": f"far{i}", "related_memory_ids": [f"m{far[i % 50]:02}", f"m{i % 60:02}"], "created_at": DAY, "updated_at": DAY} for i in range(4000)]
+    observation = {"id": "o", "updated_at": DAY, "embedding": v[0].tolist()}
+    reranked = retrieval_queries.gnn_rerank(spark, tables(memories=memories, threads=threads, observations=[observation]))
+    got = {r.id: r.score for r in reranked.collect()}
+    mixed = {int(i): 0.6 * v[i] + 0.4 * v[links[i][:5]].mean(axis=0) if i in links else v[i] for i in map(int, near)}
+    assert got == pytest.approx({f"M{i:02}": cosines(m[None], v[:1])[0, 0] for i, m in mixed.items()}, abs=1e-6)
+    assert max(rows_sent(reranked._jdf.queryExecution().executedPlan())) <= 60  # before: 128 rows a memory
